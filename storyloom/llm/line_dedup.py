@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .common import SPACE, ascii_lower, doc_key, id_or_null, materialize, text_o
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Undecided lines of one key that a task holds before it passes them on.
 HELD_LINES = 50_000
+#: Column that with_kept_text adds.
+KEPT = "__sl_kept"
 _MARKED = "kind int, h1 long, h2 long, d long, t long, pos int, n_lines int, n_docs long"
 _COLS = ("h1", "h2", "d", "t", "pos", "n_lines")
 
@@ -160,8 +163,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept"])
 
 
-def _joined(docs: DataFrame, extra: list, **limits) -> DataFrame:
-    base = docs.select(*extra, doc_key().alias("d"), text_or_empty().alias("x")).withColumn("t", F.xxhash64("x"))
+def _joined(docs: DataFrame, **limits) -> DataFrame:
+    base = docs.select(doc_key().alias("d"), text_or_empty().alias("x")).withColumn("t", F.xxhash64("x"))
     maps = line_keep_bitmaps(docs, **limits).select(F.col("d").alias("md"), F.col("t").alias("mt"), "keep_bitmap")
     return base.join(maps, (F.col("d") == F.col("md")) & (F.col("t") == F.col("mt")), "left").drop("md", "mt", "t")
 
@@ -171,10 +174,32 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
 
     A null or empty text is one empty line and stays as it is; repeated rows come out alike; extra columns don't matter.
     """
-    out = _joined(docs, [], **limits).mapInArrow(_apply, "d long, n_lines long, n_dropped long, kept string")
+    out = _joined(docs, **limits).mapInArrow(_apply, "d long, n_lines long, n_dropped long, kept string")
     return out.select(id_or_null("d").alias("doc_id"), "n_lines", "n_dropped", "kept")
 
 
+@F.pandas_udf("string")
+def _keep_lines(text: pd.Series, bitmap: pd.Series) -> pd.Series:
+    out = []
+    for x, b in zip(text, bitmap):
+        if x is not None:
+            lines = x.split("\n")
+            keep = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), count=len(lines)).tolist()
+            x = "\n".join(y for y, k in zip(lines, keep) if k)
+        out.append(x)
+    return pd.Series(out, dtype=object)
+
+
+def with_kept_text(docs: DataFrame, **limits) -> DataFrame:
+    """docs with one more column, KEPT: the text that stays. Null texts stay null; no other column is touched."""
+    mine = {n: f"__sl_{n}" for n in ("d", "t", "md", "mt", "map")}
+    base = docs.withColumn(mine["d"], doc_key()).withColumn(mine["t"], F.xxhash64(text_or_empty()))
+    maps = line_keep_bitmaps(docs, **limits).select(F.col("d").alias(mine["md"]), F.col("t").alias(mine["mt"]), F.col("keep_bitmap").alias(mine["map"]))
+    joined = base.join(maps, (F.col(mine["d"]) == F.col(mine["md"])) & (F.col(mine["t"]) == F.col(mine["mt"])), "left")
+    cut = F.col(mine["map"]).isNotNull()
+    return joined.withColumn(KEPT, F.when(cut, _keep_lines(F.when(cut, F.col("text")), mine["map"])).otherwise(F.col("text"))).drop(*mine.values())
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _apply(batches):
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in b.column("kept").to_pylist()]
@@ -183,5 +208,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup_digest(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the text that stays, without moving that text on."""
-    out = _joined(docs, [], **limits).mapInArrow(_digest, "d long, n_lines long, n_dropped long, kept_sha256 string")
+    out = _joined(docs, **limits).mapInArrow(_digest, "d long, n_lines long, n_dropped long, kept_sha256 string")
     return out.select(id_or_null("d").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
