@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import SPACE, ascii_lower, doc_key, id_or_null, materialize, text_or_empty
 
@@ -178,7 +179,7 @@ def dedup_lines(docs: DataFrame, **limits) -> DataFrame:
     return out.select(id_or_null("d").alias("doc_id"), "n_lines", "n_dropped", "kept")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _keep_lines(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     out = []
     for x, b in zip(text, bitmap):
