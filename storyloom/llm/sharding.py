@@ -20,10 +20,10 @@ def group_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("long")
 
 
-def _cuts(parts: list[tuple[int, int, int, bool]], capacity: int) -> list[tuple[int, int, int]] | None:
-    """Greedy: parts are (low, high, size, atomic) in order; returns each shard's (first key, part, filled)."""
+def _cuts(parts: list[tuple], capacity: int) -> list[int] | None:
+    """Greedy: parts are (low, high, size, atomic, depth, prefix) in order; returns the key that each shard begins with."""
     out, filled = [], capacity + 1
-    for low, _, size, _ in parts:
+    for low, _, size, *_ in parts:
         if size > capacity:
             return None
         if filled + size > capacity:
@@ -36,7 +36,7 @@ def _cuts(parts: list[tuple[int, int, int, bool]], capacity: int) -> list[tuple[
 def _feasible(parts, capacity: int, shards: int, split: bool) -> bool:
     """split: parts that hold several groups may be cut anywhere, which bounds the answer from below."""
     used, room = 1, capacity
-    for _, _, size, atomic in parts:
+    for _, _, size, atomic, *_ in parts:
         if atomic or not split:
             if size > capacity:
                 return False
@@ -77,7 +77,7 @@ def _touched(parts, shards: int, low: int, high: int) -> set[int]:
         found |= {i for i in range(early_part, min(last_part, len(parts) - 1) + 1) if not parts[i][3]}
         if early_part >= len(parts):
             break
-        early = ends[early_part - 1] if early_part and not parts[early_part][3] else (ends[early_part - 1] if early_part else 0)
+        early = ends[early_part - 1] if early_part else 0
     return found
 
 
@@ -89,15 +89,17 @@ def minimax_bounds(groups: DataFrame, shards: int = SHARDS) -> list[int]:
     one with ranges cut anywhere, leave no range of several groups in doubt. The result is exact.
     """
 
-    def children(ranges: list[tuple[int, int]], depth: int) -> list[tuple[int, int, int, bool]]:
-        width = 16 ** (DIGITS - depth)
-        keep = F.lit(False)
-        for a, b in ranges:
-            keep = keep | ((F.col("g") >= a) & (F.col("g") < b))
-        rows = groups.filter(keep).groupBy((F.col("g") / width).cast("long").alias("p") if width == 1 else F.floor(F.col("g") / F.lit(width)).cast("long").alias("p")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).collect()
-        return sorted((r.low, r.high + 1, r.size, r.n == 1) for r in rows)
+    def prefix(depth: int) -> Column:
+        return F.floor(F.col("g") / F.lit(16 ** (DIGITS - depth))).cast("long")
 
-    parts = children([(0, 16**DIGITS)], STEP)
+    def children(inside: dict[int, list[int]], depth: int) -> list[tuple]:
+        keep = F.lit(not inside)
+        for at, found in inside.items():
+            keep = keep | prefix(at).isin(found)
+        rows = groups.filter(keep).groupBy(prefix(depth).alias("p")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).collect()
+        return [(r.low, r.high + 1, r.size, r.n == 1, depth, r.p) for r in rows]
+
+    parts = sorted(children({}, STEP))
     depth = STEP
     while parts and depth < DIGITS:
         low, high = _smallest(parts, shards, True), _smallest(parts, shards, False)
@@ -105,7 +107,10 @@ def minimax_bounds(groups: DataFrame, shards: int = SHARDS) -> list[int]:
         if not doubt:
             break
         depth += STEP
-        finer = children([parts[i][:2] for i in doubt], depth)
+        inside: dict[int, list[int]] = {}
+        for i in doubt:
+            inside.setdefault(parts[i][4], []).append(parts[i][5])
+        finer = children(inside, depth)
         parts = sorted([p for i, p in enumerate(parts) if i not in set(doubt)] + finer)
     if not parts:
         return []
