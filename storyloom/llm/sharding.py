@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +23,7 @@ def group_key(text: Column) -> Column:
 
 
 def _cuts(parts: list[tuple], capacity: int) -> list[int] | None:
-    """Greedy: parts are (low, high, size, atomic, depth, prefix) in order; returns the key that each shard begins with."""
+    """Greedy: parts are (low, high, size, atomic) in order; returns the key that each shard begins with."""
     out, filled = [], capacity + 1
     for low, _, size, *_ in parts:
         if size > capacity:
@@ -62,22 +64,26 @@ def _smallest(parts, shards: int, split: bool) -> int:
     return low
 
 
-def _touched(parts, shards: int, low: int, high: int) -> set[int]:
-    """Parts of several groups in which a cut can lie for a capacity from low to high."""
+def _doubtful(parts, shards: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Ranges of parts, one for each cut at most, in which cuts can lie for a capacity from low to high."""
     ends, total = [], 0
     for p in parts:
         total += p[2]
         ends.append(total)
-    found: set[int] = set()
+    found: list[tuple[int, int]] = []
     early = late = 0  # the earliest and latest place of the current cut
     for _ in range(shards):
-        early_part = next((i for i, e in enumerate(ends) if e > early + low), len(parts))
-        late = late + high
-        last_part = next((i for i, e in enumerate(ends) if e > late), len(parts) - 1)
-        found |= {i for i in range(early_part, min(last_part, len(parts) - 1) + 1) if not parts[i][3]}
-        if early_part >= len(parts):
+        first = bisect_right(ends, early + low)
+        late += high
+        last = min(bisect_right(ends, late), len(parts) - 1)
+        if first >= len(parts):
             break
-        early = ends[early_part - 1] if early_part else 0
+        if any(not p[3] for p in parts[first : last + 1]):
+            if found and first <= found[-1][1] + 1:
+                found[-1] = (found[-1][0], max(last, found[-1][1]))
+            else:
+                found.append((first, last))
+        early = ends[first - 1] if first else 0
     return found
 
 
@@ -85,33 +91,28 @@ def minimax_bounds(groups: DataFrame, shards: int = SHARDS) -> list[int]:
     """First group key of each shard after the first: cuts of the smallest capacity that greedy filling can meet.
 
     groups holds (g long, size long), one row a group. The driver sees sums over key ranges only: 4096 at first, then
-    the children of ranges in which a cut can still lie, until the bounds of the capacity, one with ranges whole and
+    the children of at most one range for each cut in which it can still lie, until the bounds of the capacity, one with ranges whole and
     one with ranges cut anywhere, leave no range of several groups in doubt. The result is exact.
     """
 
-    def prefix(depth: int) -> Column:
-        return F.floor(F.col("g") / F.lit(16 ** (DIGITS - depth))).cast("long")
-
-    def children(inside: dict[int, list[int]], depth: int) -> list[tuple]:
-        keep = F.lit(not inside)
-        for at, found in inside.items():
-            keep = keep | prefix(at).isin(found)
-        rows = groups.filter(keep).groupBy(prefix(depth).alias("p")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).collect()
-        return [(r.low, r.high + 1, r.size, r.n == 1, depth, r.p) for r in rows]
+    def children(ranges: list[tuple[int, int]], depth: int) -> list[tuple[int, int, int, bool]]:
+        keep = F.lit(not ranges)
+        for a, b in ranges:
+            keep = keep | F.col("g").between(a, b - 1)
+        prefix = F.shiftright("g", 4 * (DIGITS - depth))
+        rows = groups.filter(keep).groupBy(prefix.alias("p")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).collect()
+        return sorted((r.low, r.high + 1, r.size, r.n == 1) for r in rows)
 
-    parts = sorted(children({}, STEP))
-    depth = STEP
+    parts, depth = children([], STEP), STEP
     while parts and depth < DIGITS:
         low, high = _smallest(parts, shards, True), _smallest(parts, shards, False)
-        doubt = sorted(_touched(parts, shards, low, high))
+        doubt = _doubtful(parts, shards, low, high)
         if not doubt:
             break
         depth += STEP
-        inside: dict[int, list[int]] = {}
-        for i in doubt:
-            inside.setdefault(parts[i][4], []).append(parts[i][5])
-        finer = children(inside, depth)
-        parts = sorted([p for i, p in enumerate(parts) if i not in set(doubt)] + finer)
+        finer = children([(parts[i][0], parts[j][1]) for i, j in doubt], depth)
+        inside = {k for i, j in doubt for k in range(i, j + 1)}
+        parts = sorted([p for k, p in enumerate(parts) if k not in inside] + finer)
     if not parts:
         return []
     return (_cuts(parts, _smallest(parts, shards, False)) or [])[1:]
