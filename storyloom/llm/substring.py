@@ -18,8 +18,9 @@ from .textvec import mix, slices, sliding, windows, word_hashes
 WINDOW = 35
 #: Words of the short runs inside a window of which the least hash is its anchor.
 ANCHOR = 10
-#: Windows of one row between the map and the count, and rows of an anchor beyond which its windows are counted apart.
-RUN, HOT = 64, 10_000
+#: Windows of one row between the map and the count, and rows of an anchor (25 MB at most) beyond which its windows are
+#: counted apart.
+RUN, HOT = 64, 50_000
 KEPT = "__sl_kept"
 _TOP = np.uint64(2**64 - 1)
 
