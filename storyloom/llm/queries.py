@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash, packing, quality_pu, quality_rules, sharding, substring
+from . import bpe, line_dedup, minhash, packing, quality_pu, quality_rules, sharding, substring, url_trust
 from .common import load
 
 SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -22,6 +22,10 @@ def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.score_documents(docs, quality_pu.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_pages(load(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_pu": op2_quality_pu,
+    "op3_url_trust": op3_url_trust,
     "op5_sharding": op5_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
