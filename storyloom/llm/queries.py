@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash, packing, quality_pu, quality_rules, sharding, substring, url_trust
+from . import bpe, cover_tree, line_dedup, minhash, packing, quality_pu, quality_rules, sharding, substring, url_trust
 from .common import load
 
 SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -26,6 +26,10 @@ def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_pages(load(spark, sf_dir, "pages"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_pu": op2_quality_pu,
     "op3_url_trust": op3_url_trust,
+    "op4_cover_tree": op4_cover_tree,
     "op5_sharding": op5_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
