@@ -17,7 +17,7 @@ from .components import connected_components
 from .textvec import mix, slices, spans_hash, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Rounds in which buckets are tried by one member each, before all pairs between unlinked members of a bucket.
+#: Rounds in which buckets are tried by one member each, before unlinked members are joined by rare shingles.
 STAR_ROUNDS = 4
 
 
@@ -135,6 +135,41 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column("node").to_numpy()
+            for k, text in enumerate(b.column("x").to_pylist()):
+                h = shingle_hashes(word_hashes([text.lower()])[0], size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node[k])), pa.array(h.view(np.int64))], names=["node", "h"])
+
+    return run
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): pairs of members (node, comp, n) of different comp that may reach the similarity, by their rarest shingles.
+
+    With shingles ordered by their number of members, then hash, two sets of that similarity share one among their rarest
+    n - ceil(n * percent / 100) + 1, and the shingles from the first shared one on are enough for the overlap. Shingles of
+    one member only stand first and join nothing, so members far from all others, and passages that all hold, bring no
+    pair.
+    """
+    each = texts.join(members.select("node"), "node").mapInArrow(_shingle_rows(size), "node long, h long")
+    each = materialize(each, "shingles")
+    counts = each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = each.join(counts, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    shared = shared.join(members, "node")
+    alone, reach = F.col("n") - F.size("hs"), F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
+    prefix = F.slice("hs", F.lit(1), F.greatest(reach - alone, F.lit(0)).cast("int"))
+    posts = shared.select("node", "comp", "n", alone.alias("alone"), F.posexplode(prefix).alias("i", "s"))
+    posts = materialize(posts.select(F.col("s.h").alias("h"), "node", "comp", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "prefixes")
+    torn = posts.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    posts = posts.join(torn, "h")
+    other = posts.select("h", F.col("node").alias("onode"), F.col("comp").alias("ocomp"), F.col("n").alias("on"), F.col("rest").alias("orest"))
+    enough = (100 + percent) * F.least("rest", "orest") >= percent * (F.col("n") + F.col("on"))
+    return posts.join(other, "h").filter((F.col("comp") < F.col("ocomp")) & enough).select(F.least("node", "onode").alias("a"), F.greatest("node", "onode").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, index: Index = DEFAULT) -> DataFrame:
     """One row per input row: (d, t, doc_id, n_shingles, component_id, kept).
 
@@ -145,9 +180,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     alike.
 
     Equal sets form one class. Classes that share a key of the multi-index are candidates. A bucket's members are tried
-    against one of them first, and only members that are not yet connected are tried further; in the end all pairs of
-    unconnected members of a bucket have been tried, so no component is missed, and a bucket of copies costs as many
-    pairs as it has members.
+    against one of them first, and only members that are not yet connected are tried further; in the end all members of
+    buckets that are still apart are joined by their rarest shingles, so no component is missed, and a bucket of copies
+    costs as many pairs as it has members.
     """
     base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
     base = base.select("d", F.xxhash64("x").alias("t"), F.col("x").cast("binary").alias("x"))
@@ -188,8 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             break
         last = not fresh or step >= STAR_ROUNDS
         if last:
-            other = left.select("key", F.col("node").alias("other"), F.col("comp").alias("ocomp"))
-            pairs = left.join(other, "key").filter("comp < ocomp").select(*pair("node", "other"))
+            pairs = _prefix_pairs(left.select("node", "comp").distinct().join(sig.select("node", "n"), "node"), texts, shingle, percent)
         else:
             own = left.filter("node = pick").select("key", F.col("comp").alias("ocomp"))
             pairs = left.join(own, "key").filter("comp <> ocomp").select(*pair("node", "pick"))
