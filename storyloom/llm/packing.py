@@ -20,11 +20,14 @@ SHARD_ROWS, BLOCK_ROWS, BLOCK_TOKENS = 1024, 4096, 8_000_000
 #: BM25's constants, and the heaviest terms of a seed that make its query.
 K1, B, QUERY_TERMS = 1.5, 0.75, 32
 #: Encoded words that a worker remembers; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
+#: Marks that may end a word; after an ASCII letter they are tokens of their own.
+MARKS = (b".", b",")
+_LETTERS = frozenset(range(97, 123))
 
 
 class WordEncoder:
-    """A tokenizer that never joins over ASCII white space: each word is encoded once and remembered."""
+    """A tokenizer that lower-cases and never joins over ASCII white space: each word is encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,17 +41,23 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit numbers."""
-        words = [x.split() for x in texts]
+        words = [x.lower().split() for x in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list({w for ws in words for w in ws} - self.known.keys())
+        known = self.known
+        new = {w for w in set().union(*words) if w not in known}  # a difference of sets would walk through all of known
+        marked = [w for w in new if w[-1:] in MARKS and len(w) > 1 and w[-2] in _LETTERS]
+        new.difference_update(marked)
+        new.update(w for w in {w[:-1] for w in marked}.union(MARKS) if w not in known)
+        new = list(new)
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
             flat = np.fromiter((i for ids in found for i in ids), "<u2").tobytes()
             ends = np.cumsum([2 * len(ids) for ids in found]).tolist()
-            self.known.update((w, flat[e - 2 * len(ids) : e]) for w, ids, e in zip(part, found, ends))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+            known.update((w, flat[e - 2 * len(ids) : e]) for w, ids, e in zip(part, found, ends))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 _encoders: dict[str, WordEncoder] = {}
