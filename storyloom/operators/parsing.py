@@ -50,7 +50,7 @@ def productions_of(events: DataFrame) -> DataFrame:
     """(event_id, event_seq, ord, entity_name, entity_type, strength) of parsed events; names of one character don't count."""
     parts = []
     for kind, column in (("actor", "actors"), ("patient", "patients"), ("whyfactor", "why_factors")):
-        parts.append(F.transform(column, lambda x, k=kind: F.struct(x.alias("name"), F.lit(k).alias("kind"), F.lit(_STRENGTH[k]).alias("strength"))))
+        parts.append(F.transform(column, lambda x: F.struct(x.alias("name"), F.lit(kind).alias("kind"), F.lit(_STRENGTH[kind]).alias("strength"))))
     place = F.when(F.col("location").isNotNull(), F.array(F.struct(F.col("location").alias("name"), F.lit("place").alias("kind"), F.lit(_STRENGTH["place"]).alias("strength")))).otherwise(F.array().cast("array<struct<name:string,kind:string,strength:double>>"))
     rows = events.select(F.col("id").alias("event_id"), F.col("seq").alias("event_seq"), F.posexplode(F.concat(*parts, place)).alias("ord", "p"))
     return rows.filter(F.char_length("p.name") > 1).select("event_id", "event_seq", "ord", F.col("p.name").alias("entity_name"), F.col("p.kind").alias("entity_type"), F.col("p.strength").alias("strength"))
