@@ -17,8 +17,8 @@ from .components import connected_components
 from .textvec import mix, slices, spans_hash, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Rounds in which buckets are tried by one member each, before unlinked members are joined by rare shingles.
-STAR_ROUNDS = 4
+#: Rounds in which buckets are tried by one member each once more, before unlinked members are joined by rare shingles.
+STAR_ROUNDS = 1
 
 
 @dataclass(frozen=True)
