@@ -17,8 +17,8 @@ from .textvec import slices
 WINDOW, END = 2048, 1
 #: Documents of a shard on average, and the most that one index holds; a fuller shard is packed in blocks.
 SHARD_ROWS, BLOCK_ROWS, BLOCK_TOKENS = 1024, 4096, 8_000_000
-#: BM25's constants, and the heaviest terms of a seed that make its query.
-K1, B, QUERY_TERMS = 1.5, 0.75, 32
+#: BM25's constants.
+K1, B = 1.5, 0.75
 #: Encoded words that a worker remembers; beyond it starts anew.
 REMEMBERED = 1_200_000
 #: Marks that may end a word; after an ASCII letter they are tokens of their own.
@@ -88,18 +88,15 @@ class Bm25:
         self.size = n
         df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(1.0, lengths.mean())))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(1.0, lengths.mean())))
         self.term, self.of_doc = term, np.searchsorted(self.doc, np.arange(n + 1))
         order = np.argsort(term, kind="stable")
-        self.post_doc, self.post_weight = self.doc[order], self.weight[order]
+        self.post_doc, self.post_weight = self.doc[order], weight[order]
         self.of_term = np.concatenate([[0], np.cumsum(df)])
 
     def scores(self, seed: int) -> np.ndarray:
-        """Scores of all pieces for the seed's heaviest terms."""
-        a, b = self.of_doc[seed], self.of_doc[seed + 1]
-        terms = self.term[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
+        """Scores of all pieces for all terms of the seed."""
+        terms = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
         spans = [(self.of_term[t], self.of_term[t + 1]) for t in terms.tolist()]
         at = np.concatenate([self.post_doc[i:j] for i, j in spans])
         return np.bincount(at, np.concatenate([self.post_weight[i:j] for i, j in spans]), self.size)

@@ -122,3 +122,25 @@ def test_several_blocks_and_shards(spark, monkeypatch):
     out = packing.pack_documents(documents(spark, rows)).collect()
     pieces_hold(rows, out)
     assert packing.pack_documents(documents(spark, [])).count() == 0
+
+
+def bm25_scores(pieces, seed):
+    """Scores by the definition, term by term."""
+    n, mean = len(pieces), sum(map(len, pieces)) / len(pieces)
+    out = []
+    for p in pieces:
+        score = 0.0
+        for t in set(pieces[seed].tolist()):
+            df, tf = sum(t in q for q in pieces), int((p == t).sum())
+            score += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(p) / mean))
+        out.append(score)
+    return out
+
+
+def test_every_term_of_a_seed_counts():
+    rng = np.random.default_rng(5)
+    pieces = [rng.integers(2, 300, 150).astype("<u2") for _ in range(40)]
+    index = packing.Bm25(pieces)
+    for seed in range(5):
+        assert len(set(pieces[seed].tolist())) > 32
+        assert index.scores(seed) == pytest.approx(bm25_scores(pieces, seed))
