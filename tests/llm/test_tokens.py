@@ -144,3 +144,34 @@ def test_every_term_of_a_seed_counts():
     for seed in range(5):
         assert len(set(pieces[seed].tolist())) > 32
         assert index.scores(seed) == pytest.approx(bm25_scores(pieces, seed))
+
+
+def test_neighbours_meet_across_shards(spark, monkeypatch):
+    rng = random.Random(4)
+    topics = [[f"{a}{b}" for b in "bcdfghklmn"] for a in ("ma", "te", "ri", "so", "lu", "pa", "ne", "di", "ko", "vu")]
+    rows = [(i, " ".join(rng.choice(topics[i % 10]) for _ in range(rng.randrange(200, 500)))) for i in range(400)]
+    for name, value in (("SHARD_ROWS", 20), ("SEEDS", 8), ("END_ROWS", 40)):
+        monkeypatch.setattr(packing, name, value, raising=False)
+    out = packing.pack_documents(documents(spark, rows)).collect()
+    assert pieces_hold(rows, out) < 0.01
+    by = defaultdict(lambda: [0] * 10)
+    for r in out:
+        by[r.sequence_id][r.doc_id % 10] += r.length
+    assert sum(map(max, by.values())) / sum(map(sum, by.values())) > 0.85
+
+
+def test_search_finds_the_nearest_of_all_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(packing, "LISTED", 1)
+    pieces = [rng.integers(2, 400, rng.integers(100, 300)).astype("<u2") for _ in range(90)]
+    rows = spark.createDataFrame([(i % 3, i // 3, x.tobytes()) for i, x in enumerate(pieces)], "shard long, at long, ids binary")
+    packer = packing.Packer(rows)
+    windows = [packing.Open(i % 3 << 32 | i // 3, 0, len(pieces[i])) for i in range(10)]
+    assert all(packer.take(w.pieces[0][0]) for w in windows)
+    found = packer.search(windows)
+    index = packing.Bm25(pieces)
+    for q in range(10):
+        score = index.scores(q)
+        order = [i for i in np.argsort(-score, kind="stable").tolist() if i >= 10]
+        got = [(k & 0xFFFFFFFF) * 3 + (k >> 32) for k in found[q][0].tolist()]
+        assert len(got) > 5 and score[got] == pytest.approx(score[order[: len(got)]], rel=1e-5)
