@@ -9,8 +9,10 @@ from .common import ascii_lower, materialize
 
 #: (verdict, host, path): production rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Damping, rounds, and the distrust from which a host is blocked, in shares of a seed that rules block wholly.
-DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 8, 0.5
+#: Damping, and the distrust from which a host is blocked, in shares of a seed that rules block wholly.
+DAMPING, BLOCK_SHARE = 0.85, 0.5
+#: Mass that may still be added in all when ranks count as settled, and the most steps.
+TOLERANCE, MOST_STEPS = 1e-5, 400
 #: Parts that the outgoing links of any one host are dealt to.
 SALTS = 32
 
@@ -52,25 +54,41 @@ def domain_links(hosts: DataFrame) -> DataFrame:
     return pairs.select(F.col("host").alias("src"), F.col("up").alias("dst"), F.lit(1).cast("long").alias("n")).unionByName(down)
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, mass): personalised PageRank of `seeds` (host, seed) over `edges` (src, dst, n), n the link's weight.
 
-    mass = (1 - damping) * seed + damping * what links pass on. A host without links passes nothing on. Links of one
+    mass = (1 - damping) * seed + damping * what links pass on. A host without links passes nothing on. Steps start from
+    (1 - damping) * seed, so mass only grows, and end when all that later steps could add is below TOLERANCE; an error is
+    raised if MOST_STEPS do not settle it. With `rounds` that many steps run from the seeds instead. Links of one
     host are salted, and sums are partial before their shuffle, so hubs of either direction spread over tasks.
     """
     out_sum = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = edges.join(out_sum, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int").alias("salt"))
     share = materialize(share, "links")
-    now = seeds.select("host", F.col("seed").alias("mass"))
+    kept = seeds.select("host", ((1 - damping) * F.col("seed")).alias("mass"))
     if not share.limit(1).count():
-        return now.select("host", ((1 - damping) * F.col("mass")).alias("mass"))
+        return kept
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    for _ in range(rounds):
+
+    def step(now: DataFrame) -> DataFrame:
         given = now.filter("mass > 0").withColumn("salt", salts)
         moved = share.join(given.withColumnRenamed("host", "src"), ["src", "salt"]).select(F.col("dst").alias("host"), (damping * F.col("w") * F.col("mass")).alias("mass"))
-        kept = seeds.select("host", ((1 - damping) * F.col("seed")).alias("mass"))
-        now = materialize(kept.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass")), "ranks")
-    return now
+        return kept.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
+
+    if rounds is not None:
+        now = seeds.select("host", F.col("seed").alias("mass"))
+        for _ in range(rounds):
+            now = materialize(step(now), "ranks")
+        return now
+    total = lambda df: df.agg(F.sum("mass")).first()[0] or 0.0
+    now, before = kept, total(kept)
+    for _ in range(MOST_STEPS):
+        now = materialize(step(now), "ranks")
+        after = total(now)
+        if (after - before) * damping / (1 - damping) < TOLERANCE:  # each change is at most damping times the one before
+            return now
+        before = after
+    raise RuntimeError(f"ranks are not settled after {MOST_STEPS} steps")
 
 
 def judge_hosts(parsed: DataFrame) -> DataFrame:

@@ -65,3 +65,16 @@ def test_repeated_rows_and_empty(spark):
     rows = [(1, "http://y.net/es/", "<a href=//z.org>", None, None)] * 3
     assert url_trust.judge_pages(spark.createDataFrame(rows, SCHEMA)).count() == 3
     assert url_trust.judge_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distrust_settles_over_long_chains(spark):
+    to = lambda host: f'<a href="http://{host}/p">x</a>'
+    rows = [(0, "http://bad.net/es/", None), (1, "http://h1.org/", to("bad.net"))] + [(i, f"http://h{i}.org/", to(f"h{i - 1}.org")) for i in range(2, 13)]
+    out = {r.page_id: r.verdict for r in url_trust.judge_pages(spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)).collect()}
+    assert [out[i] for i in range(13)] == ["block"] * 5 + ["allow"] * 8
+
+
+def test_ranks_of_a_cycle_are_settled(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1)], "src string, dst string, n long")
+    got = {r.host: r.mass for r in url_trust.personalised_rank(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), damping=0.5).collect()}
+    assert got == pytest.approx({h: 0.5 * 0.5**k / (1 - 0.5**3) for k, h in enumerate("abc")}, abs=1e-5)
