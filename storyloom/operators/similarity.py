@@ -92,16 +92,17 @@ def longshot_pairs(vectors: DataFrame, threshold: float, window: int = 100, step
     return out.groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 
-def semantic_topk_pairs(vectors: DataFrame, threshold: float = 0.6, top: int = 10, apart: int = 5, sample: int = 10_000) -> DataFrame:
+def semantic_topk_pairs(vectors: DataFrame, threshold: float = 0.6, top: int = 10, apart: int = 5, sample: int | None = None) -> DataFrame:
     """(src, dst, score): for each event the `top` most similar ones more than `apart` before it; ties by seq.
 
-    The comparison is quadratic, so at most `sample` events take part, spread evenly over the order; that is part of the
-    operator. Blocks are compared pairwise, each keeping its best, then the best of all are ranked.
+    Blocks are compared pairwise, each keeping its best, then the best of all are ranked. The work is quadratic. `sample`
+    is the legacy cap: of more events, only that many at even steps from the first take part, and `apart` counts those.
     """
-    n = vectors.count()
-    every = max(1, n // sample)
-    rows = vectors.filter((F.col("seq") % every == 0) & (F.col("seq") < every * sample)) if n > sample else vectors
-    rows = rows.withColumn("seq", F.floor(F.col("seq") / every).cast("long"))
+    rows = vectors
+    if sample is not None and (n := vectors.count()) > sample:
+        every = n // sample
+        rows = vectors.filter((F.col("seq") % every == 0) & (F.col("seq") < every * sample))
+        rows = rows.withColumn("seq", F.floor(F.col("seq") / every).cast("long"))
     p = packs(rows, F.lit(""), F.floor(F.col("seq") / PACK))
     found = _pairs(p, p, F.col("block_a") <= F.col("block_b"), threshold, apart, top)
     best = Window.partitionBy("dst").orderBy(F.col("score").desc(), "src_seq")

@@ -1,3 +1,4 @@
+import numpy as np
 """Operators on small tables worked out by hand or by brute force."""
 
 import json
@@ -77,6 +78,13 @@ def test_long_shots_need_more_than_two_windows(spark):
     assert sorted(r.src for r in few) == [2, 5]
 
 
+def test_top_pairs_reach_every_event(spark):
+    x = np.random.default_rng(7).normal(size=(10_050, 16))
+    x[10_040] = x[3]
+    df = spark.createDataFrame([(i, i, v) for i, v in enumerate(x.tolist())], "id long, seq long, vec array<double>")
+    assert (3, 10_040) in {(r.src, r.dst) for r in similarity.semantic_topk_pairs(df, 0.9999).collect()}
+
+
 def test_inheritance(spark):
     ev = spark.createDataFrame([(i, i) for i in range(5)], "id long, seq long")
     pr = spark.createDataFrame([(1, 0, "Ann", "actor", 0.9), (1, 1, "ann", "patient", 0.8), (3, 0, "hope", "whyfactor", 0.7)], "event_id long, ord long, entity_name string, entity_type string, strength double")
