@@ -9,7 +9,7 @@ from .common import SPACE, doc_key, id_or_null, materialize, text_or_empty
 
 #: Below it a document fails; repeated words above that percentage, too.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Rows that a (language, source) needs for estimates of its own; smaller ones are pooled, by language and then all.
+#: Rows that a (language, source) needs for an estimate of its own; smaller ones are judged by their language's, or by that of all rows.
 MIN_ROWS = 200
 #: Share of rows that an estimate rests on, and refinements (C-steps) of that half.
 KEPT_SHARE, STEPS = 0.75, 3
@@ -58,13 +58,23 @@ def _statistics(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """A column g: lang and source, or a pool of groups that are too small for estimates."""
+    """Columns g and own: each row in the group that judges it (own), and once more in each wider pool that judges others.
+
+    A group is lang and source; one of less than MIN_ROWS is judged by all rows of its lang, and where those are too few
+    by all rows of the table.
+    """
     name = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.col(x), F.lit("\x1e")) if isinstance(x, str) else x for x in c))
     sizes = materialize(rows.groupBy("lang", "source").agg(F.count("*").alias("rows")), "sizes")
-    own = sizes.withColumn("g", F.when(F.col("rows") >= MIN_ROWS, name("lang", "source")).otherwise(name("lang", F.lit("*"))))
-    pools = own.filter(F.col("rows") < MIN_ROWS).groupBy("g").agg(F.sum("rows").alias("pool")).filter(F.col("pool") < MIN_ROWS).select("g", F.lit("*").alias("all"))
-    own = materialize(own.join(pools, "g", "left").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.coalesce("all", "g").alias("g")), "groups")
-    return rows.join(own, rows.lang.eqNullSafe(F.col("gl")) & rows.source.eqNullSafe(F.col("gs"))).drop("gl", "gs")
+    langs = sizes.groupBy(F.col("lang").alias("ll")).agg(F.sum("rows").alias("of_lang"), F.min("rows").alias("least"))
+    world = langs.agg(F.max(F.col("of_lang") < MIN_ROWS).alias("few"))
+    own = sizes.join(langs, F.col("lang").eqNullSafe(F.col("ll"))).crossJoin(world)
+    pool, every = name("lang", F.lit("\x1d*")), F.lit("*")
+    g = F.when(F.col("rows") >= MIN_ROWS, name("lang", "source")).when(F.col("of_lang") >= MIN_ROWS, pool).otherwise(every)
+    used = F.array(F.when((F.col("of_lang") >= MIN_ROWS) & (F.col("least") < MIN_ROWS), pool), F.when(F.col("few"), every))
+    own = own.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), g.alias("judge"), F.array_distinct(F.array_compact(F.concat(F.array(g), used))).alias("pools"))
+    own = materialize(own, "groups")
+    out = rows.join(own, rows.lang.eqNullSafe(F.col("gl")) & rows.source.eqNullSafe(F.col("gs"))).withColumn("g", F.explode("pools"))
+    return out.withColumn("own", F.col("g") == F.col("judge")).drop("gl", "gs", "judge", "pools")
 
 
 def _with_distance(rows: DataFrame, est: DataFrame) -> DataFrame:
@@ -132,8 +142,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed), "counts")
     good = materialize(_statistics(_grouped(rows.filter("not base_failed"))), "statistics")
-    sizes = good.groupBy("g").agg((F.count("*") >= MIN_ROWS).alias("known"))
-    judged = mcd_distances(good).join(sizes, "g").withColumn("kept", ~F.col("known") | (F.col("dist") <= BOUND))
+    judged = mcd_distances(good).filter("own").withColumn("kept", F.col("dist") <= BOUND)
     out = ["d", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*out, "kept", "dist").unionByName(rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("dist")))
 
@@ -143,7 +152,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
     Words are runs of `[^\\x20\\x09-\\x0D]`; null texts have none and fail. Documents that pass the base rules are kept
     unless their transformed statistics lie beyond BOUND from the robust estimate of their lang and source (null counts
-    as a value of its own). A pool of less than MIN_ROWS rows in the end rejects nothing. Repeated rows come out alike.
+    as a value of its own), or of the wider pool that holds a small group. Repeated rows come out alike.
     """
     return _judged(docs).select(id_or_null("d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -43,6 +43,18 @@ def test_outliers_go_and_others_stay(spark):
     assert kept.columns == documents(spark, []).columns
 
 
+def test_junk_of_a_rare_language_goes(spark):
+    rng = random.Random(4)
+    junk = " ".join("#*$%&" * 8 for _ in range(100))
+    rows = [(i, prose(rng, rng.randrange(80, 400)), "en") for i in range(400)] + [(i, prose(rng, rng.randrange(80, 400)), "xx") for i in range(400, 500)]
+    rows += [(500, junk, "xx"), (501, junk, "xx"), (502, junk, "en")]
+    docs = spark.createDataFrame([(*r, "web") for r in rows], "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge_documents(docs).collect()
+    out = {r.doc_id: r.kept for r in got}
+    assert len(got) == len(rows) and not any(out[i] for i in (500, 501, 502))
+    assert np.mean([out[i] for i in range(500)]) > 0.99
+
+
 def test_few_rows_reject_nothing_and_empty_tables_give_none(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 100)) for i in range(20)]
