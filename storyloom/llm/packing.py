@@ -1,82 +1,90 @@
-"""Lexical retrieval packing: BM25 over all documents fills a seed document's window with its nearest unused neighbours."""
+"""Lexical retrieval packing: a BM25 index over lexically near documents fills each seed's window with unused neighbours."""
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, id_or_null, materialize, shared_dir, text_or_empty
+from .common import doc_key, id_or_null, materialize, text_or_empty
 from .textvec import slices
+from .wordbpe import WordEncoder
 
 WINDOW, END = 2048, 1
-#: Documents of an index shard on average; windows that are filled in a round; documents that are packed in one block at the end.
-SHARD_ROWS, SEEDS, END_ROWS = 16_384, 2048, 4096
-#: Windows that a list of neighbours could fill; a term of more than one in DENSE documents of a shard is a dense row.
-LISTED, DENSE = 4, 32
-PIECES = "shard long, at long, start long, length long, sequence long, offset long"
+#: Documents of an index shard; terms of the key that shards follow; tokens of a range partition, and the most partitions.
+SHARD_ROWS, KEY_TERMS, PART_TOKENS, MOST_PARTS = 2048, 8, 4_000_000, 20_000
+#: A term in more than one of DENSE documents of a shard is a row of a matrix, others are lists; queries of one product.
+DENSE, QUERIES = 16, 128
 #: BM25's constants.
 K1, B = 1.5, 0.75
-#: Encoded words that a worker remembers; beyond it starts anew.
-REMEMBERED = 1_200_000
-#: Marks that may end a word; after an ASCII letter they are tokens of their own.
-MARKS = (b".", b",")
-_LETTERS = frozenset(range(97, 123))
-
-
-class WordEncoder:
-    """A tokenizer that lower-cases and never joins over ASCII white space: each word is encoded once and remembered."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            self.tokenizer = Tokenizer.from_str(f.read())
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids need more than 16 bits")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit numbers."""
-        words = [x.lower().split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = {w for w in set().union(*words) if w not in known}  # a difference of sets would walk through all of known
-        marked = [w for w in new if w[-1:] in MARKS and len(w) > 1 and w[-2] in _LETTERS]
-        new.difference_update(marked)
-        new.update(w for w in {w[:-1] for w in marked}.union(MARKS) if w not in known)
-        new = list(new)
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            flat = np.fromiter((i for ids in found for i in ids), "<u2").tobytes()
-            ends = np.cumsum([2 * len(ids) for ids in found]).tolist()
-            known.update((w, flat[e - 2 * len(ids) : e]) for w, ids, e in zip(part, found, ends))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
-        end = END.to_bytes(2, "little")
         for b in batches:
             texts = b.column("x").to_pylist()
-            for i, j in slices(texts):
-                ids = [x + end for x in encoder.encode(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([b.column("shard").slice(i, j - i), b.column("d").slice(i, j - i), pa.array(ids, pa.binary())], names=["shard", "d", "ids"])
+            for i, j in slices(texts, 1 << 22):
+                ids, at = encoder.encode(texts[i:j], END)
+                yield pa.RecordBatch.from_arrays([b.column("d").slice(i, j - i), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])], names=["d", "ids"])
+
+    return run
+
+
+def rest_of(raw) -> np.ndarray:
+    """Ids of a document after its whole windows."""
+    ids = np.frombuffer(raw, "<u2")
+    return ids[len(ids) // WINDOW * WINDOW :]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): documents that hold each term after their whole windows; -1 all documents, -2 their tokens, -3 tokens of whole documents."""
+    df, n, tokens, every = np.zeros(1 << 16, np.int64), 0, 0, 0
+    seen = np.full(1 << 16, -1, np.int64)
+    for b in batches:
+        for x in b.column("ids"):
+            raw = x.as_buffer()
+            rest = rest_of(raw)
+            seen[rest] = n  # each term once
+            df[rest[seen[rest] == n]] += 1
+            n, tokens, every = n + 1, tokens + len(rest), every + raw.size // 2
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[terms, -1, -2, -3]), pa.array(np.r_[df[terms], n, tokens, every])], names=["term", "n"])
+
+
+def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, float, int]:
+    """idf of every term and the mean length over the rests of all documents, and the tokens of all of them.
+
+    The driver sees one row for each id of the vocabulary, 65,536 at most.
+    """
+    found = dict(map(tuple, rows.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+    n, tokens, every = (found.pop(k, 0) for k in (-1, -2, -3))
+    df = np.zeros(1 << 16)
+    df[list(found)] = list(found.values())
+    return np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(1, n), every
+
+
+def lexical_key(rest: np.ndarray, idf: np.ndarray) -> bytes:
+    """The terms of a document with the largest tf * idf, heaviest first: documents of one matter have near keys."""
+    terms, tf = np.unique(rest, return_counts=True)
+    weight = tf * idf[terms]
+    if len(terms) > KEY_TERMS:
+        some = np.argpartition(-weight, KEY_TERMS)[:KEY_TERMS]
+        terms, weight = terms[some], weight[some]
+    return terms[np.lexsort((terms, -weight))].astype(">u2").tobytes()
+
+
+def _keyed(idf: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [lexical_key(rest_of(x.as_buffer()), idf) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("t"), b.column("d"), b.column("ids")], names=["key", "t", "d", "ids"])
 
     return run
 
@@ -84,38 +92,74 @@ def _tokens(path: str):
 class Bm25:
     """Inverted index over pieces of token ids; a posting's weight is its whole BM25 term.
 
-    stats: idf of every term and the mean length; without it those of the pieces.
+    stats: idf of every term and the mean length; without it those of the pieces. Terms of many pieces are rows of a dense
+    matrix, all others lists.
     """
 
-    def __init__(self, pieces: list[np.ndarray], stats: tuple[np.ndarray, float] | None = None):
+    def __init__(self, pieces: list[np.ndarray], stats: tuple | None = None):
         n = len(pieces)
-        lengths = np.array([len(p) for p in pieces], np.float64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths.astype(np.int64))
-        terms, tf = np.unique(np.concatenate(pieces).astype(np.int64) | owner << 16, return_counts=True)
-        self.doc, term = terms >> 16, terms & 0xFFFF
-        self.size = n
-        df = np.bincount(term, minlength=1 << 16)
-        idf, mean = stats or (np.log1p((n - df + 0.5) / (df + 0.5)), lengths.mean())
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(1.0, mean)))
-        self.term, self.of_doc = term, np.searchsorted(self.doc, np.arange(n + 1))
-        order = np.argsort(term, kind="stable")
-        self.post_doc, self.post_weight = self.doc[order], weight[order]
-        self.of_term = np.concatenate([[0], np.cumsum(df)])
-
-    def scores(self, seed: int) -> np.ndarray:
-        """Scores of all pieces for all terms of the seed."""
-        terms = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
-        spans = [(self.of_term[t], self.of_term[t + 1]) for t in terms.tolist()]
-        at = np.concatenate([self.post_doc[i:j] for i, j in spans])
-        return np.bincount(at, np.concatenate([self.post_weight[i:j] for i, j in spans]), self.size)
-
-
-def pack_block(lengths: list[int], ids: list[np.ndarray], window: int = WINDOW, stats: tuple[np.ndarray, float] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) for the documents of a block; sequences count from 0.
-
-    Whole windows of a long document stand alone. What is left of each is packed: a seed, then its nearest unused
-    neighbours, the last one cut to fill the window; the cut tail begins the next window. The rest of the block is cut
-    into sequences whose lengths are powers of two, which take no padding.
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        owner = np.repeat(np.arange(n, dtype=np.uint64), lengths)
+        both, tf = np.unique(owner << np.uint64(16) | np.concatenate(pieces).astype(np.uint64), return_counts=True)
+        self.size, doc, self.term = n, (both >> np.uint64(16)).astype(np.int64), (both & np.uint64(0xFFFF)).astype(np.int64)
+        df = np.bincount(self.term, minlength=1 << 16)
+        idf, mean = stats[:2] if stats else (np.log1p((n - df + 0.5) / (df + 0.5)), lengths.mean())
+        weight = (idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1.0, mean)))).astype(np.float32)
+        self.of_doc = np.searchsorted(doc, np.arange(n + 1))
+        often = np.flatnonzero(df * DENSE > n)
+        self.row = np.full(1 << 16, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        many = self.row[self.term] >= 0
+        self.dense = np.zeros((len(often), n), np.float32)
+        self.dense[self.row[self.term[many]], doc[many]] = weight[many]
+        order = np.flatnonzero(~many)
+        order = order[np.argsort(self.term[order], kind="stable")]
+        self.post_doc, self.post_weight = doc[order], weight[order]
+        self.count = np.where(self.row >= 0, 0, df)
+        self.first = np.cumsum(self.count) - self.count
+
+    def scores(self, seeds: np.ndarray) -> np.ndarray:
+        """Scores of all pieces for all terms of each seed, one row a seed."""
+        spans = self.of_doc[seeds + 1] - self.of_doc[seeds]
+        query = np.repeat(np.arange(len(seeds)), spans)
+        term = self.term[np.repeat(self.of_doc[seeds] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
+        asked = np.zeros((len(seeds), len(self.dense)), np.float32)
+        many = self.row[term] >= 0
+        asked[query[many], self.row[term[many]]] = 1
+        out = asked @ self.dense
+        query, term = query[~many], term[~many]
+        n = self.count[term]
+        at = np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return out + np.bincount(np.repeat(query, n) * self.size + self.post_doc[at], self.post_weight[at], len(seeds) * self.size).reshape(out.shape).astype(np.float32)
+
+
+def _ranked(score: np.ndarray) -> Iterator[int]:
+    """Places of the scores from 0 on, best first; of equal ones the first in order."""
+    most, given = 64, 0
+    while True:
+        if most < len(score):
+            least = np.partition(score, len(score) - most)[len(score) - most]
+            top = np.flatnonzero(score > least) if least >= 0 else np.flatnonzero(score >= 0)
+            done = least < 0
+            if not done and len(top) <= given:  # one score fills the rest of this list
+                top, done = (np.flatnonzero(score >= least), False)
+        else:
+            top, done = np.flatnonzero(score >= 0), True
+        top = top[np.argsort(-score[top], kind="stable")]
+        yield from top[given:].tolist()
+        if done:
+            return
+        given, most = len(top), most * 8
+
+
+def pack_block(lengths: list[int], ids: list[np.ndarray], window: int = WINDOW, stats: tuple | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) for the documents of a shard; sequences count from 0.
+
+    Whole windows of a long document stand alone. What is left of each is packed. Seeds are taken evenly from the order
+    of the documents, one for each window that can be filled. A window takes its seed, then the seed's nearest unused
+    neighbours by BM25 over all terms of the seed; the last one is cut, and what is left of it stays unused. Seeds
+    of later windows are neighbours only when nothing else is left. What fills no window is cut into sequences whose
+    lengths are powers of two, which take no padding.
     """
     sequence = 0
     starts, rest = [], []
@@ -130,311 +174,74 @@ def pack_block(lengths: list[int], ids: list[np.ndarray], window: int = WINDOW,
     if not rest:
         return
     index = Bm25([ids[doc][start:] for doc, start in zip(rest, starts)], stats)
-    left = np.ones(len(rest), bool)
-    order, at = list(range(len(rest))), 0
-    total = sum(lengths[d] - s for d, s in zip(rest, starts))
-    whole, tail = divmod(total, window)
-    goals = [window] * whole + [1 << k for k in range(window.bit_length() - 1, -1, -1) if tail >> k & 1]
-    carried: int | None = None
-    for goal in goals:
-        filled, seed, ranked, step = 0, carried, None, 0
-        while filled < goal:
-            if carried is not None:
-                piece, carried = carried, None
-            elif seed is None:
-                while not left[order[at]]:
-                    at += 1
-                piece = order[at]
-            else:
-                if ranked is None:
-                    score = np.where(left, index.scores(seed), -1.0)
-                    ranked = np.argsort(-score, kind="stable")
-                piece = int(ranked[step])
-                step += 1
-            seed = piece if seed is None else seed
-            left[piece] = False
-            doc, start = rest[piece], starts[piece]
-            take = min(goal - filled, lengths[doc] - start)
-            yield doc, start, take, sequence, filled
+    n, left = len(rest), np.array([lengths[d] - s for d, s in zip(rest, starts)], np.int64)
+    whole, tail = divmod(int(left.sum()), window)
+    seeds = np.arange(whole) * n // max(1, whole)
+    free = np.ones(n, bool)
+    free[seeds] = False
+    rows: dict[int, np.ndarray] = {}
+    for k, goal in enumerate([window] * whole + [1 << b for b in range(window.bit_length() - 1, -1, -1) if tail >> b & 1]):
+        if k % QUERIES == 0:
+            some = seeds[k : k + QUERIES]
+            rows = dict(zip(some.tolist(), index.scores(some)))
+        if k < whole and left[seeds[k]]:
+            seed = int(seeds[k])
+        else:
+            if not free.any():
+                free = left > 0
+            seed = int(free.argmax())
+        filled, piece, ranked = 0, seed, None
+        while True:
+            take = int(min(goal - filled, left[piece]))
+            yield rest[piece], starts[piece], take, sequence, filled
             filled += take
             starts[piece] += take
-            if starts[piece] < lengths[doc]:
-                carried = piece
+            left[piece] -= take
+            free[piece] = left[piece] > 0 and (free[piece] or piece == seed)
+            if filled == goal:
+                break
+            if ranked is None:
+                score = rows[seed] if seed in rows else index.scores(np.array([seed]))[0]
+                ranked = _ranked(np.where(free, score, np.float32(-1)))
+            piece = next(ranked, -1)
+            if piece < 0:  # only seeds of later windows are left
+                free = left > 0
+                ranked = _ranked(np.where(free, score, np.float32(-1)))
+                piece = next(ranked)
         sequence += 1
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole shards with `at`, their place in the shard, and `first`, the whole windows of the shard before them."""
-    shard, at, first = None, 0, 0
-    for b in batches:
-        places = []
-        for s, x in zip(b.column("shard").to_pylist(), b.column("ids")):
-            if s != shard:
-                shard, at, first = s, 0, 0
-            places.append((at, first))
-            at, first = at + 1, first + len(x.as_buffer()) // 2 // WINDOW
-        ats, firsts = (pa.array([p[k] for p in places], pa.int64()) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([b.column("shard"), ats, b.column("d"), firsts, b.column("ids")], names=["shard", "at", "d", "first", "ids"])
-
-
-def rest_of(raw: bytes) -> np.ndarray:
-    """Ids of a document after its whole windows."""
-    ids = np.frombuffer(raw, "<u2")
-    return ids[len(ids) // WINDOW * WINDOW :]
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n): documents that hold each term after their whole windows; under -1 all documents, under -2 their tokens."""
-    df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
-    for b in batches:
-        for x in b.column("ids").to_pylist():
-            rest = rest_of(x)
-            df[np.unique(rest)] += 1
-            n, tokens = n + (len(rest) > 0), tokens + len(rest)
-    terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[df[terms], n, tokens])], names=["term", "n"])
-
-
-def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """idf of every term, and the mean length, over the rests of all documents."""
-    found = dict(map(tuple, rows.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
-    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
-    df = np.zeros(1 << 16)
-    df[list(found)] = list(found.values())
-    return np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(1, n)
-
-
-def _index(stats: tuple[np.ndarray, float]):
-    """A row for each shard: lengths of its rests and their postings, as bytes. Rests are empty for whole windows only."""
+def _pack(stats: tuple):
+    """Pieces of rows that come in the order of their keys, a shard of SHARD_ROWS documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rests = None, []
+        sequence, ds, held = TaskContext.get().partitionId() << 32, [], []
+        names = ["d", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if rests:
-                x = Bm25(rests, stats)
-                cols = [np.array([len(r) for r in rests], np.int32), x.of_term.astype(np.int64), x.post_doc.astype(np.int32), x.post_weight.astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["shard", "lengths", "of_term", "docs", "weights"])
-
+            nonlocal sequence
+            out, used = [], 0
+            for k, start, length, q, offset in pack_block([len(x) for x in held], held, stats=stats):
+                used = max(used, q + 1)
+                out.append((ds[k], start, length, zlib.crc32(held[k][start : start + length].astype("<u4").tobytes()), len(held[k]), sequence + q, offset))
+            sequence += used
+            ds.clear()
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+        tokens = 0
         for b in batches:
-            for s, x in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
-                if s != shard:
+            for d, x in zip(b.column("d").to_pylist(), b.column("ids").to_pylist()):
+                ds.append(d)
+                held.append(np.frombuffer(x, "<u2"))
+                tokens += len(held[-1]) // WINDOW * WINDOW
+                if len(held) == SHARD_ROWS or tokens > PART_TOKENS:  # whole windows of very long documents bound a shard too
                     yield from flush()
-                    shard, rests = s, []
-                rests.append(rest_of(x).copy())
-        yield from flush()
-
-    return run
-
-
-class Shard:
-    """The postings of a shard's unused rests. Terms of many rests are a dense matrix, all others stay lists."""
-
-    def __init__(self, alive: np.ndarray, of_term: np.ndarray, docs: np.ndarray, weights: np.ndarray):
-        self.size = int(alive.sum())
-        place = np.cumsum(alive) - 1
-        here = alive[docs]
-        before = np.concatenate([[0], np.cumsum(here)])
-        self.of_term, self.docs, self.weights = before[of_term], place[docs[here]], weights[here]
-        often = np.flatnonzero(np.diff(self.of_term) * DENSE > self.size)
-        self.column = np.full(1 << 16, -1, np.int64)
-        self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.size), np.float32)
-        for k, t in enumerate(often.tolist()):
-            i, j = self.of_term[t], self.of_term[t + 1]
-            self.dense[k, self.docs[i:j]] = self.weights[i:j]
-
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Scores of all unused rests for all terms of each query."""
-        asked = np.zeros((len(queries), len(self.dense)), np.float32)
-        for row, terms in zip(asked, queries):
-            c = self.column[terms]
-            row[c[c >= 0]] = 1
-        out = asked @ self.dense
-        for row, terms in zip(out, queries):
-            rare = terms[self.column[terms] < 0].astype(np.int64)
-            spans = [(i, j) for i, j in zip(self.of_term[rare].tolist(), self.of_term[rare + 1].tolist()) if i < j]
-            if spans:
-                at = np.concatenate([self.docs[i:j] for i, j in spans])
-                row += np.bincount(at, np.concatenate([self.weights[i:j] for i, j in spans]), self.size)
-        return out
-
-
-def _best(score: np.ndarray, lengths: np.ndarray, tokens: int, shift: int = 0) -> np.ndarray:
-    """Places of the best scores, best first, as many as hold `tokens`, or all. Ties start at `shift`, so equals are spread."""
-    n, most = len(score), 64
-    turned = np.roll(score, -shift)
-    while True:
-        top = np.argpartition(-turned, most)[:most] if most < n else np.arange(n)
-        top = np.sort(top)
-        top = top[np.argsort(-turned[top], kind="stable")]
-        top = (top + shift) % max(1, n)
-        held = np.cumsum(lengths[top])
-        if most >= n or held[-1] >= tokens:
-            return top[: int(np.searchsorted(held, tokens)) + 1]
-        most *= 4
-
-
-def _search(shared):
-    """(q, keys, lengths, scores): each query's best unused rests of each shard, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, unused = shared.value
-        for b in batches:
-            for r in range(b.num_rows):
-                shard = b.column("shard")[r].as_py()
-                lengths, of_term, docs, weights = (np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in (("lengths", np.int32), ("of_term", np.int64), ("docs", np.int32), ("weights", np.float32)))
-                alive = np.unpackbits(np.frombuffer(unused[shard], np.uint8), count=len(lengths)).astype(bool)
-                places = np.flatnonzero(alive)
-                if not len(places):
-                    continue
-                index, lengths = Shard(alive, of_term, docs, weights), lengths[places]
-                for a in range(0, len(queries), 128):
-                    part, out = queries[a : a + 128], []
-                    for q, score in enumerate(index.scores([np.frombuffer(x, "<u2") for x in part]), a):
-                        top = _best(score, lengths, LISTED * WINDOW, q * 7919 % len(places))
-                        out.append((q, (shard << 32 | places[top]).tobytes(), lengths[top].tobytes(), score[top].tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["q", "keys", "lengths", "scores"])
-
-    return run
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best of all shards of each query, from rows in the order of q."""
-    now, held = None, []
-
-    def flush() -> Iterator[pa.RecordBatch]:
+                    tokens = 0
         if held:
-            keys, lengths, scores = (np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in enumerate((np.int64, np.int32, np.float32)))
-            top = _best(scores, lengths, LISTED * WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([c[top].tobytes()], pa.binary()) for c in (keys, lengths))], names=["q", "keys", "lengths"])
-
-    for b in batches:
-        for q, *lists in zip(*(b.column(c).to_pylist() for c in ("q", "keys", "lengths", "scores"))):
-            if q != now:
-                yield from flush()
-                now, held = q, []
-            held.append(lists)
-    yield from flush()
-
+            yield from flush()
 
-class Open:
-    """A window that is not full: its pieces (key, start, length), and the terms of the first, its seed."""
-
-    def __init__(self, key: int, start: int, length: int):
-        self.pieces, self.filled, self.terms = [(key, start, length)], length, None
-
-
-class Packer:
-    """Greedy windows over the rests of all documents, many at a time.
-
-    Each round sends the seeds of its windows to the index of every shard, merges what is found and fills the windows one
-    after the other, each with the nearest rests that are still unused; the last one is cut, and its tail is the seed of
-    a next window. A window whose list ends before it is full asks again in the next round. The last END_ROWS rests, and
-    what windows still hold, are packed in one block. The driver keeps a length and a mark for each document.
-    """
-
-    def __init__(self, rows: DataFrame):
-        self.rows, self.spark = rows, rows.sparkSession
-        self.stats = corpus_statistics(rows)
-        dealt = rows.select("shard", "at", "ids").repartition(max(1, rows.select("shard").distinct().count()), "shard").sortWithinPartitions("shard", "at")
-        self.index = materialize(dealt.select("shard", "ids").mapInArrow(_index(self.stats), "shard long, lengths binary, of_term binary, docs binary, weights binary"), "postings")
-        self.lengths = {s: np.frombuffer(x, np.int32) for s, x in sorted(map(tuple, self.index.select("shard", "lengths").collect()))}
-        self.unused = {s: x > 0 for s, x in self.lengths.items()}
-        self.left = sum(int(u.sum()) for u in self.unused.values())
-        self.order = (s << 32 | int(i) for s, u in self.unused.items() for i in np.flatnonzero(u.copy()))
-        self.sequences, self.done = 0, []
-        self.path = f"{shared_dir(self.spark)}/storyloom-pieces-{uuid.uuid4().hex[:12]}"
-
-    def take(self, key: int) -> bool:
-        marks, at = self.unused[key >> 32], key & 0xFFFFFFFF
-        free = bool(marks[at])
-        marks[at] = False
-        self.left -= free
-        return free
-
-    def rests(self, keys: list[int]) -> dict[int, np.ndarray]:
-        wanted = self.spark.createDataFrame(pd.DataFrame({"shard": np.array(keys, np.int64) >> 32, "at": np.array(keys, np.int64) & 0xFFFFFFFF}).drop_duplicates(), "shard long, at long")
-        tail = F.expr(f"substring(ids, cast(octet_length(ids) div {2 * WINDOW} * {2 * WINDOW} + 1 as int))")
-        return {r.shard << 32 | r.at: np.frombuffer(r.ids, "<u2") for r in self.rows.join(F.broadcast(wanted), ["shard", "at"]).select("shard", "at", tail.alias("ids")).collect()}
-
-    def close(self, pieces: list[tuple[int, int, int]]) -> None:
-        offset = 0
-        for key, start, length in pieces:
-            self.done.append((key >> 32, key & 0xFFFFFFFF, start, length, self.sequences, offset))
-            offset += length
-        self.sequences += 1
-
-    def write(self) -> None:
-        names = ["shard", "at", "start", "length", "sequence", "offset"]
-        out = pd.DataFrame(np.array(self.done, np.int64).reshape(-1, 6), columns=names)
-        self.spark.createDataFrame(out, PIECES).write.mode("append").parquet(self.path)
-        self.done = []
-
-    def search(self, windows: list[Open]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        new = [w for w in windows if w.terms is None]
-        ids = self.rests([w.pieces[0][0] for w in new]) if new else {}
-        for w in new:
-            key, start, length = w.pieces[0]
-            w.terms = np.unique(ids[key][start : start + length]).tobytes()
-        shared = self.spark.sparkContext.broadcast(([w.terms for w in windows], {s: np.packbits(u).tobytes() for s, u in self.unused.items()}))
-        found = self.index.mapInArrow(_search(shared), "q int, keys binary, lengths binary, scores binary").repartition("q").sortWithinPartitions("q")
-        lists = {r.q: (np.frombuffer(r.keys, np.int64), np.frombuffer(r.lengths, np.int32)) for r in found.mapInArrow(_merged, "q int, keys binary, lengths binary").collect()}
-        shared.destroy()
-        return lists
-
-    def run(self) -> DataFrame:
-        waiting: list[Open] = []
-        while self.left > END_ROWS:
-            most = min(SEEDS, max(1, self.left // 16))
-            windows, waiting = waiting[:most], waiting[most:]
-            while len(windows) < most:
-                key = next(self.order)
-                if self.take(key):
-                    windows.append(Open(key, 0, int(self.lengths[key >> 32][key & 0xFFFFFFFF])))
-            lists, again = self.search(windows), []
-            for q, w in enumerate(windows):
-                tail = None
-                for key, n in zip(*(c.tolist() for c in lists.get(q, (np.zeros(0), np.zeros(0))))):
-                    if w.filled == WINDOW:
-                        break
-                    if self.take(key):
-                        length = min(WINDOW - w.filled, n)
-                        w.pieces.append((key, 0, length))
-                        w.filled += length
-                        tail = Open(key, length, n - length) if length < n else None
-                if w.filled < WINDOW:
-                    again.append(w)
-                    continue
-                self.close(w.pieces)
-                if tail:
-                    again.append(tail)
-            waiting = again + waiting
-            self.write()
-        pieces = [p for w in waiting for p in w.pieces] + [(key, 0, int(self.lengths[key >> 32][key & 0xFFFFFFFF])) for key in self.order if self.take(key)]
-        if pieces:
-            ids = self.rests([key for key, _, _ in pieces])
-            last: dict[int, list] = {}
-            for k, start, length, sequence, _ in pack_block([p[2] for p in pieces], [ids[p[0]][p[1] : p[1] + p[2]] for p in pieces], stats=self.stats):
-                last.setdefault(sequence, []).append((pieces[k][0], pieces[k][1] + start, length))
-            for _, parts in sorted(last.items()):
-                self.close(parts)
-        self.write()
-        return self.spark.read.schema(PIECES).parquet(self.path)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole windows of each row, then its other pieces."""
-    for b in batches:
-        out = []
-        for shard, d, first, raw, pieces in zip(*(b.column(c).to_pylist() for c in ("shard", "d", "first", "ids", "pieces"))):
-            ids = np.frombuffer(raw, "<u2")
-            full = len(ids) // WINDOW
-            cuts = [(k * WINDOW, WINDOW, shard + 1 << 32 | first + k, 0) for k in range(full)]
-            cuts += [(full * WINDOW + p["start"], p["length"], p["sequence"], p["offset"]) for p in pieces or []]
-            out += [(d, s, n, zlib.crc32(ids[s : s + n].astype("<u4").tobytes()), len(ids), q, o) for s, n, q, o in cuts]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["d", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    return run
 
 
 def tokenizer_path() -> str:
@@ -447,16 +254,18 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text, then END; a null or empty text is END alone. Each row of docs is packed,
-    repeated ones too. Neighbours are searched among all documents, under statistics of all. Shards only deal out the
-    work: rows go to them by a hash of document and text. An empty table gives no rows.
+    repeated ones too; very long texts give whole windows of their own; extra columns, of any name, don't matter; an empty
+    table gives no rows.
+
+    Documents are ranged by a lexical key under statistics of all documents, and each run of SHARD_ROWS of them is a
+    shard of the index with all its terms, so a seed searches the documents that share its heaviest terms; the work is
+    in proportion to the corpus. Copies and ties are ordered by hash, so any number of them spreads over shards.
     """
-    shards = max(1, -(-docs.count() // SHARD_ROWS))
-    base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
-    base = base.select(F.pmod(F.xxhash64("d", "x"), F.lit(shards)).alias("shard"), "d", F.col("x").cast("binary").alias("x"))
-    ids = base.mapInArrow(_tokens(path or tokenizer_path()), "shard long, d long, ids binary")
-    dealt = ids.repartition("shard").sortWithinPartitions("shard", "d", "ids")
-    rows = materialize(dealt.mapInArrow(_numbered, "shard long, at long, d long, first long, ids binary"), "tokens")
-    pieces = Packer(rows).run().groupBy("shard", "at").agg(F.collect_list(F.struct("start", "length", "sequence", "offset")).alias("pieces"))
-    out = rows.join(pieces, ["shard", "at"], "left").select("shard", "d", "first", "ids", "pieces")
-    out = out.mapInArrow(_cut, "d long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    base = docs.select(doc_key().alias("d"), text_or_empty().cast("binary").alias("x"))
+    rows = materialize(base.mapInArrow(_tokens(path or tokenizer_path()), "d long, ids binary"), "tokens")
+    stats = corpus_statistics(rows)
+    keyed = rows.select(F.xxhash64("ids").alias("t"), "d", "ids").mapInArrow(_keyed(stats[0]), "key binary, t long, d long, ids binary")
+    parts = max(1, min(MOST_PARTS, -(-stats[2] // PART_TOKENS)))
+    ranged = keyed.repartitionByRange(parts, "key", "t", "d").sortWithinPartitions("key", "t", "d")
+    out = ranged.select("d", "ids").mapInArrow(_pack(stats), "d long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.select(id_or_null("d").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

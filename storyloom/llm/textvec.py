@@ -37,11 +37,11 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE bytes; a longer text is a range of its own."""
+def slices(texts: list[bytes], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes; a longer text is a range of its own."""
     a = size = 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > SLICE:
+        if size and size + len(x) > most:
             yield a, i
             a, size = i, 0
         size += len(x) + 1
