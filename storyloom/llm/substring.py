@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from .common import doc_key, id_or_null, materialize, text_or_empty
-from .textvec import mix, slices, sliding, windows, word_hashes
+from .textvec import slices, sliding, windows, word_hashes
 
 WINDOW = 35
 #: Words of the short runs inside a window of which the least hash is its anchor.
 ANCHOR = 10
-#: Windows of one row between the map and the count, and rows of an anchor (25 MB at most) beyond which its windows are
-#: counted apart.
-RUN, HOT = 64, 50_000
+#: Bytes of text whose windows are counted together before they travel.
+BLOCK = 1 << 22
 KEPT = "__sl_kept"
 _TOP = np.uint64(2**64 - 1)
 
@@ -76,157 +76,131 @@ def _text_anchors(window: int, anchor: int):
     return run
 
 
-def _window_runs(window: int, anchor: int):
-    """For each text with anchors `vs` that occur elsewhere: its windows with such anchors, in runs of one anchor."""
+def _runs(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of starts in order within each text: where runs of consecutive ones begin, and their lengths."""
+    new = np.ones(len(start), bool)
+    new[1:] = (text[1:] != text[:-1]) | (np.diff(start) != 1)
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(start)))
+
+
+def _window_rows(window: int, anchor: int):
+    """For each text with anchors `vs` that occur elsewhere, its windows with such anchors, counted within a block of texts.
+
+    (h, d, t, start, n): a window hash with its first place in the block, n = 0; of hashes that the block holds twice or more
+    also every place, as runs of n starts with h null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, d, t = b.column("x").to_pylist(), b.column("d").to_numpy(), b.column("t").to_numpy()
-            vs, hot = b.column("vs").to_pylist(), b.column("hots").to_pylist()
-            for i, j in slices(texts):
+            texts, d, t, vs = b.column("x").to_pylist(), b.column("d").to_numpy(), b.column("t").to_numpy(), b.column("vs").to_pylist()
+            for i, j in slices(texts, BLOCK):
                 s = _Slice(texts[i:j], window, anchor)
-                n = len(s.words)
-                hashes = np.zeros(n, np.uint64)
-                h = windows(s.words, window)
-                hashes[: len(h)] = h
-                wanted = np.zeros(n, bool)
+                wanted = np.zeros(len(s.words), bool)
                 for k in range(i, j):
                     a, e = s.at[k - i], s.at[k - i + 1]
                     wanted[a:e] = s.valid[a:e] & np.isin(s.anchors[a:e].view(np.int64), np.asarray(vs[k], np.int64))
                 place = np.flatnonzero(wanted)
-                if not len(place):
-                    continue
-                new = np.ones(len(place), bool)
-                new[1:] = (np.diff(place) != 1) | (s.anchors[place[1:]] != s.anchors[place[:-1]]) | (s.text_of[place[1:]] != s.text_of[place[:-1]])
-                first = np.flatnonzero(new)
-                length = np.diff(np.append(first, len(place)))
-                inside = np.arange(len(place)) - np.repeat(first, length)
-                first = np.flatnonzero(inside % RUN == 0)
-                at, own = place[first], s.text_of[place[first]]
-                anchors = s.anchors[at].view(np.int64)
-                is_hot = [int(v) in x for v, x in zip(anchors.tolist(), (set(hot[i + k]) if hot[i + k] else () for k in own.tolist()))] if any(hot[i:j]) else np.zeros(len(at), bool)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(hashes[place].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(d[i:j][own]), pa.array(t[i:j][own]), pa.array((at - s.at[own]).astype(np.int32)), lists, pa.array(np.asarray(is_hot, bool))], names=["v", "d", "t", "start", "hs", "hot"])
+                hashes = windows(s.words, window)[place]  # only whole windows are wanted
+                found, first, back, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                at = place[first]
+                again = place[count[back] > 1]
+                head, n = _runs(s.text_of[again], again)
+                both = np.concatenate([at, again[head]])
+                own = s.text_of[both]
+                h = pa.array(np.concatenate([found.view(np.int64), np.zeros(len(head), np.int64)]), mask=np.arange(len(both)) >= len(at))
+                size = np.concatenate([np.zeros(len(at), np.int32), n.astype(np.int32)])
+                yield pa.RecordBatch.from_arrays([h, pa.array(d[i:j][own]), pa.array(t[i:j][own]), pa.array((both - s.at[own]).astype(np.int32)), pa.array(size)], names=["h", "d", "t", "start", "n"])
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor. Windows that occur twice under an anchor leave as starts by document."""
-    held: list = []
-
-    def decide(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = table.combine_chunks()
-        if not t.num_rows:
-            return
-        lists = t.column("hs").combine_chunks()
-        flat, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        row = np.repeat(np.arange(t.num_rows), np.diff(offsets))
-        key = mix(flat ^ mix(t.column("v").to_numpy().view(np.uint64))[row])
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        hit = np.flatnonzero(twice)
-        if len(hit):
-            r = row[hit]
-            start = t.column("start").to_numpy()[r] + (hit - offsets[r])
-            new = np.ones(len(hit), bool)
-            new[1:] = (r[1:] != r[:-1]) | (np.diff(start) != 1)
-            f = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("d").to_numpy()[r[f]]), pa.array(t.column("t").to_numpy()[r[f]]), pa.array(start[f].astype(np.int32)), pa.array(np.diff(np.append(f, len(hit))).astype(np.int32))], names=["d", "t", "start", "n"])
+def _intervals(window: int):
+    """(d, t, start, stop): words under the windows of each text, merged; rows (d, t, start, n) come in that order."""
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        v = b.column("v").to_numpy()
-        cut = int(np.searchsorted(v, v[-1]))  # the last anchor may go on in the next batch
-        if held and held[-1].column("v")[0].as_py() != v[-1]:
-            yield from decide(pa.Table.from_batches([*held, b.slice(0, cut)]))
-            held = []
-        elif not held and cut:
-            yield from decide(pa.Table.from_batches([b.slice(0, cut)]))
-        held.append(b.slice(cut))
-    if held:
-        yield from decide(pa.Table.from_batches(held))
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Runs of window starts whose words also start elsewhere: (d, t, start, n), n starts from `start` on.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d, t, start, n = (b.column(c).to_numpy() for c in ("d", "t", "start", "n"))
+            start, stop = start.astype(np.int64), start.astype(np.int64) + n - 1 + window
+            other = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
+            text = np.cumsum(other) << 32
+            reach = np.maximum.accumulate(text + stop)
+            first = np.flatnonzero(np.append(True, text[1:] + start[1:] > reach[:-1]))
+            last = np.append(first[1:], len(d)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(t[first]), pa.array(start[first].astype(np.int32)), pa.array((reach[last] - text[last]).astype(np.int32))], names=["d", "t", "start", "stop"])
+
+    return run
+
+
+def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Removal intervals: (d, t, start, stop), the words from start to before stop of the text t of document d.
 
     Every window of `window` words is hashed. Equal windows hold the same anchor, the least hash of the short runs in
     them, so a window can repeat only if its anchor does: one count over anchors, a twelfth of the windows, clears the
-    rest of the corpus before window hashes are shipped and counted. An anchor with more than HOT occurrences has its
-    windows counted by hash with partial sums, so that no task has to hold it; the result is the same.
+    rest of the corpus. The windows that are left are counted by hash in Spark. A block of texts sends each of its hashes
+    once, so a passage of any frequency brings its key one row for each block; windows that a block itself holds twice
+    are settled there.
     """
     anchor = min(ANCHOR, window)
     base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
     base = base.select("d", F.xxhash64("x").alias("t"), F.col("x").cast("binary").alias("x"))
     counts = base.select("x").mapInArrow(_count_anchors(window, anchor), "v long, n int")
-    counts = counts.groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1")
-    counts = materialize(counts.select("v", (F.col("n") > HOT).alias("hot")), "anchors")
-    any_hot = bool(counts.filter("hot").limit(1).count())
+    counts = materialize(counts.groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1").select("v"), "anchors")
     found = base.mapInArrow(_text_anchors(window, anchor), "v long, d long, t long").join(counts, "v")
-    found = found.groupBy("d", "t").agg(F.collect_set("v").alias("vs"), F.collect_set(F.when(F.col("hot"), F.col("v"))).alias("hots"))
-    runs = base.join(found, ["d", "t"]).mapInArrow(_window_runs(window, anchor), "v long, d long, t long, start int, hs array<long>, hot boolean")
-    if any_hot:
-        runs = materialize(runs, "runs")
-    out = runs.filter("not hot").drop("hot").repartition("v").sortWithinPartitions("v").mapInArrow(_repeats, "d long, t long, start int, n int")
-    if any_hot:
-        each = runs.filter("hot").select("d", "t", "start", F.posexplode("hs").alias("k", "h"))
-        twice = each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-        out = out.unionByName(each.join(twice, "h").select("d", "t", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n")))
-    return out
+    found = found.groupBy("d", "t").agg(F.collect_set("v").alias("vs"))
+    rows = base.join(found, ["d", "t"]).mapInArrow(_window_rows(window, anchor), "h long, d long, t long, start int, n int")
+    blocks = F.count("*").over(Window.partitionBy("h"))
+    across = rows.filter("h is not null").withColumn("blocks", blocks).filter("blocks > 1").select("d", "t", "start", F.lit(1).alias("n"))
+    starts = rows.filter("h is null").select("d", "t", "start", "n").unionByName(across)
+    ordered = starts.repartition("d", "t").sortWithinPartitions("d", "t", "start")
+    return ordered.mapInArrow(_intervals(window), "d long, t long, start int, stop int")
 
 
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
-    """docs with the column __sl_hits: (start, n) of repeated windows, null without any."""
-    hits = materialize(repeated_windows(docs, window), "hits")
-    hits = hits.groupBy(F.col("d").alias("__sl_md"), F.col("t").alias("__sl_mt")).agg(F.collect_list(F.struct("start", "n")).alias("__sl_hits"))
+    """docs with the column __sl_hits: intervals of words that go, null without any."""
+    hits = materialize(repeated_words(docs, window), "hits")
+    hits = hits.groupBy(F.col("d").alias("__sl_md"), F.col("t").alias("__sl_mt")).agg(F.collect_list(F.struct("start", "stop")).alias("__sl_hits"))
     base = docs.withColumn("__sl_d", doc_key()).withColumn("__sl_t", F.xxhash64(text_or_empty()))
     return base.join(hits, (F.col("__sl_d") == F.col("__sl_md")) & (F.col("__sl_t") == F.col("__sl_mt")), "left").drop("__sl_md", "__sl_mt", "__sl_t")
 
 
-def removal_mask(n_words: int, hits: list, window: int) -> np.ndarray:
-    """True for each word inside a maximal removal interval."""
-    delta = np.zeros(n_words + 1, np.int64)
+def removal_mask(n_words: int, hits: list) -> np.ndarray:
+    """True for each word inside an interval."""
+    mask = np.zeros(n_words, bool)
     for h in hits:
-        delta[h["start"]] += 1
-        delta[h["start"] + h["n"] - 1 + window] -= 1
-    return np.cumsum(delta[:-1]) > 0
+        mask[h["start"] : h["stop"]] = True
+    return mask
 
 
-def _digest(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, gone, sha = [], [], []
-            for x, hits in zip(b.column("x").to_pylist(), b.column("__sl_hits").to_pylist()):
-                words = x.split()
-                n.append(len(words))
-                if hits:
-                    mask = removal_mask(len(words), hits, window)
-                    words = [w for w, m in zip(words, mask.tolist()) if not m]
-                gone.append(n[-1] - len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("__sl_d"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["d", "n_words", "n_removed", "kept_sha256"])
-
-    return run
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n, gone, sha = [], [], []
+        for x, hits in zip(b.column("x"), b.column("__sl_hits").to_pylist()):
+            words = x.as_py().split()
+            n.append(len(words))
+            if hits:
+                mask = removal_mask(len(words), hits)
+                words = [w for w, m in zip(words, mask.tolist()) if not m]
+            gone.append(n[-1] - len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("__sl_d"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["d", "n_words", "n_removed", "kept_sha256"])
 
 
 def substring_dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, SHA-256 of the words that stay, joined by one space.
 
     Null or empty texts have no words; texts shorter than a window lose none. Copies of a text lose all that is as long
-    as a window, repeated rows too. Rows of one doc_id with different texts are told apart.
+    as a window, repeated rows too. Rows of one doc_id with different texts are told apart. A very long text is a block of
+    its own. Other columns don't matter, whatever their names. An empty table gives no rows.
     """
     joined = _with_starts(docs.select("doc_id", "text"), window).select("__sl_d", text_or_empty().cast("binary").alias("x"), "__sl_hits")
-    out = joined.mapInArrow(_digest(window), "d long, n_words long, n_removed long, kept_sha256 string")
+    out = joined.mapInArrow(_digest, "d long, n_words long, n_removed long, kept_sha256 string")
     return out.select(id_or_null("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
-def _cutter(window: int):
+def _cutter():
     space = b" \t\n\x0b\f\r"
 
     def cut(x: str, hits: list) -> str:
@@ -235,7 +209,7 @@ def _cutter(window: int):
         word = np.concatenate([[False], ~np.isin(a, np.frombuffer(space, np.uint8)), [False]])
         edge = np.flatnonzero(word[1:] != word[:-1])
         starts, ends = edge[0::2], edge[1::2]
-        mask = removal_mask(len(starts), hits, window)
+        mask = removal_mask(len(starts), hits)
         keep = np.ones(len(a), bool)
         change = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
         for i, j in zip(change[0::2], change[1::2]):  # each maximal interval, with the space before it
@@ -253,4 +227,4 @@ def with_kept_text(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with one more column, KEPT: its text without the removed words; the white space between others stays."""
     joined = _with_starts(docs, window)
     hit = F.col("__sl_hits").isNotNull()
-    return joined.withColumn(KEPT, F.when(hit, _cutter(window)(F.when(hit, F.col("text")), "__sl_hits")).otherwise(F.col("text"))).drop("__sl_d", "__sl_hits")
+    return joined.withColumn(KEPT, F.when(hit, _cutter()(F.when(hit, F.col("text")), "__sl_hits")).otherwise(F.col("text"))).drop("__sl_d", "__sl_hits")

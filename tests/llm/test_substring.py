@@ -37,14 +37,15 @@ def test_against_brute_force(spark):
     assert run(spark, rows, window=8) == brute(rows, 8)
 
 
-def test_hot_anchors_are_counted_apart(spark, monkeypatch):
+def test_repeats_inside_a_block_and_across_blocks(spark, monkeypatch):
     rng = random.Random(4)
     passage = prose(rng, 80)
     rows = [(i, f"{prose(rng, i % 30)} {passage if i % 3 else passage[: len(passage) // 2]} {prose(rng, 10)}") for i in range(120)]
     expected = brute(rows)
     assert run(spark, rows) == expected
-    monkeypatch.setattr(substring, "HOT", 20)
-    assert run(spark, rows) == expected
+    for block in (1, 500, 3000):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        assert run(spark, rows) == expected
 
 
 def test_texts_and_white_space_stay(spark):
