@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(found) == mark or not found[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

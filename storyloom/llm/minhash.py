@@ -8,13 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import doc_key, id_or_null, materialize, text_or_empty
 from .components import connected_components
-from .textvec import mix, slices, spans_hash, word_hashes
+from .textvec import mix, spans, spans_hash, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Rounds in which buckets are tried by one member each once more, before unlinked members are joined by rare shingles.
@@ -60,24 +61,27 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _signatures(size: int, index: Index):
+    """Of each text: the size of its set, the set as a number of 128 bits (a, b), and its signature; a slice at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _constants(index.values, 1) | np.uint64(1), _constants(index.values, 2)
-        coef = _constants(1 << 16, 3)
+        one, two = _constants(2, 3)
         for b in batches:
-            texts = [x.lower() for x in b.column("x").to_pylist()]
-            sizes, nodes, sigs = [], [], []
-            for i, j in slices(texts):
-                words, at = word_hashes(texts[i:j])
+            column = b.column("x")
+            for i, j in spans(pc.binary_length(column).to_pylist()):
+                words, at = word_hashes([x.as_py().lower() for x in column[i:j]])
+                sizes, sets, sigs = np.diff(at), np.zeros((2, j - i), np.uint64), []
                 for k in range(j - i):
                     s = shingle_hashes(words[at[k] : at[k + 1]], size)
                     low = np.full(index.values, 2**64 - 1, np.uint64)
-                    for a in range(0, len(s), 2048):
-                        np.minimum(low, (s[a : a + 2048, None] * mul + add).min(axis=0), out=low)
-                    sizes.append(len(s))
-                    # the set as one number: its hashes' sum, each mixed again
-                    nodes.append(int(mix(np.array([mix(s ^ coef[0]).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0]))
+                    for c in range(0, len(s), 512):
+                        np.minimum(low, (s[c : c + 512, None] * mul + add).min(axis=0), out=low)
+                    sizes[k] = len(s)
+                    # sums of the hashes, each mixed again in two ways
+                    sets[:, k] = mix(s ^ one).sum(dtype=np.uint64), mix(s + two).sum(dtype=np.uint64)
                     sigs.append(((low >> np.uint64(24)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], names=["d", "t", "n", "node", "sig"])
+                cols = [pa.array(sizes), *(pa.array(x.view(np.int64)) for x in sets), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("d").slice(i, j - i), b.column("t").slice(i, j - i), *cols], names=["d", "t", "n", "a", "b", "sig"])
 
     return run
 
@@ -139,8 +143,8 @@ def _shingle_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node = b.column("node").to_numpy()
-            for k, text in enumerate(b.column("x").to_pylist()):
-                h = shingle_hashes(word_hashes([text.lower()])[0], size)
+            for k, text in enumerate(b.column("x")):
+                h = shingle_hashes(word_hashes([text.as_py().lower()])[0], size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node[k])), pa.array(h.view(np.int64))], names=["node", "h"])
 
     return run
@@ -149,6 +153,9 @@ def _shingle_rows(size: int):
 def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): pairs of members (node, comp, n) of different comp that may reach the similarity, by their rarest shingles.
 
+    An exact refinement of buckets whose members are neither linked nor far apart, where pairs would grow with the square
+    of the bucket. Its pairs are held against the signature distance and then the full sets, as all others are.
+
     With shingles ordered by their number of members, then hash, two sets of that similarity share one among their rarest
     n - ceil(n * percent / 100) + 1, and the shingles from the first shared one on are enough for the overlap. Shingles of
     one member only stand first and join nothing, so members far from all others, and passages that all hold, bring no
@@ -177,18 +184,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     fewer words is one shingle. Documents link if 100 * intersection >= percent * union on the full sets.
     component_id is the smallest doc_id reachable over links (null ids don't count), kept tells whether it is the
     document's own. Texts without words link with nothing: their component is their own doc_id. Repeated rows come out
-    alike.
+    alike; very long texts are worked on alone; other columns, of any name, don't matter; an empty table gives no rows.
 
-    Equal sets form one class. Classes that share a key of the multi-index are candidates. A bucket's members are tried
+    Equal sets, by 128 bits of them, form one class. Classes that share a key of the multi-index are candidates. A bucket's members are tried
     against one of them first, and only members that are not yet connected are tried further; in the end all members of
     buckets that are still apart are joined by their rarest shingles, so no component is missed, and a bucket of copies
     costs as many pairs as it has members.
     """
     base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
     base = base.select("d", F.xxhash64("x").alias("t"), F.col("x").cast("binary").alias("x"))
-    rows = materialize(base.mapInArrow(_signatures(shingle, index), "d long, t long, n long, node long, sig binary"), "signatures")
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("d", "t")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    rows = materialize(base.mapInArrow(_signatures(shingle, index), "d long, t long, n long, a long, b long, sig binary"), "signatures")
+    classes = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("d", "t")).alias("at"), F.min(id_or_null("d")).alias("low"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # once written, the number stays
     keys = classes.select("node", "sig").mapInArrow(_keys(index), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lead")).filter("c > 1").drop("c")
     buckets = materialize(keys.join(shared, "key"), "buckets")
@@ -236,10 +243,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if last:
             break
         tried, step = tried.unionByName(pairs), step + 1
-    label = rows.select("node", "d", "n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    ids = label.filter("n > 0").groupBy("c").agg(F.min(id_or_null("d")).alias("component_id"))
-    placed = label.filter("n > 0").select("node", "c").distinct().join(ids, "c").select("node", "component_id")
-    out = rows.join(placed.withColumnRenamed("node", "pn"), (F.col("node") == F.col("pn")) & (F.col("n") > 0), "left")
+    label = classes.select("a", "b", "n", "low", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    ids = label.groupBy("c").agg(F.min("low").alias("component_id"))
+    placed = label.join(ids, "c").select("a", "b", "n", "component_id")
+    out = rows.select("d", "t", "n", "a", "b").join(placed, ["a", "b", "n"], "left")
     component = F.coalesce("component_id", id_or_null("d"))
     return out.select("d", "t", id_or_null("d").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(id_or_null("d") == component, component.isNull()).alias("kept"))
 

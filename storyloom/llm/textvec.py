@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -37,16 +37,20 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
+def spans(lengths: Iterable[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, given by their lengths, of about `most` bytes; a longer text is a range of its own."""
+    a = i = size = 0
+    for i, n in enumerate(lengths, 1):
+        if size and size + n > most:
+            yield a, i - 1
+            a, size = i - 1, 0
+        size += n + 1
+    if i > a:
+        yield a, i
+
+
 def slices(texts: list[bytes], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes; a longer text is a range of its own."""
-    a = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
-            yield a, i
-            a, size = i, 0
-        size += len(x) + 1
-    if len(texts) > a:
-        yield a, len(texts)
+    return spans(map(len, texts), most)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
