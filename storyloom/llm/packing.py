@@ -7,17 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, id_or_null, materialize, text_or_empty
-from .textvec import slices
+from .textvec import spans
 from .wordbpe import WordEncoder
 
 WINDOW, END = 2048, 1
 #: Documents of an index shard; terms of the key that shards follow; tokens of a range partition, and the most partitions.
 SHARD_ROWS, KEY_TERMS, PART_TOKENS, MOST_PARTS = 2048, 8, 4_000_000, 20_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 21
 #: A term in more than one of DENSE documents of a shard is a row of a matrix, others are lists; queries of one product.
 DENSE, QUERIES = 16, 128
 #: BM25's constants.
@@ -25,14 +28,34 @@ K1, B = 1.5, 0.75
 _encoders: dict[str, WordEncoder] = {}
 
 
+def lexical_keys(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For the rest of each text, ids[at[i]:at[i + 1]], its heaviest terms, heaviest first.
+
+    A term weighs sqrt(tf) * log(id + 2): merges of a vocabulary come in the order of their frequency, so the logarithm of
+    an id stands for a term's rarity without a pass over the corpus. It only deals documents to shards.
+    """
+    n = len(at) - 1
+    size = np.diff(at) % WINDOW
+    owner = np.repeat(np.arange(n, dtype=np.uint64), size)
+    rest = ids[np.repeat(at[1:] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())].astype(np.uint64)
+    both, tf = np.unique(owner << np.uint64(16) | rest, return_counts=True)
+    term = both & np.uint64(0xFFFF)
+    light = 65535 - np.minimum(100 * np.sqrt(tf) * np.log(term.astype(np.float64) + 2), 65535)
+    order = np.sort((both >> np.uint64(16)) << np.uint64(32) | light.astype(np.uint64) << np.uint64(16) | term)
+    first = np.searchsorted(order, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+    terms = (order & np.uint64(0xFFFF)).astype(">u2")
+    return [terms[i : min(i + KEY_TERMS, j)].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for b in batches:
-            texts = b.column("x").to_pylist()
-            for i, j in slices(texts, 1 << 22):
-                ids, at = encoder.encode(texts[i:j], END)
-                yield pa.RecordBatch.from_arrays([b.column("d").slice(i, j - i), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])], names=["d", "ids"])
+            column = b.column("x")
+            for i, j in spans(pc.binary_length(column).to_pylist(), SLICE):
+                ids, at = encoder.encode([x.as_py() for x in column[i:j]], END)
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column("d").slice(i, j - i), pa.array(lexical_keys(ids, at), pa.binary()), raw], names=["d", "key", "ids"])
 
     return run
 
@@ -70,25 +93,6 @@ def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, float, int]:
     return np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(1, n), every
 
 
-def lexical_key(rest: np.ndarray, idf: np.ndarray) -> bytes:
-    """The terms of a document with the largest tf * idf, heaviest first: documents of one matter have near keys."""
-    terms, tf = np.unique(rest, return_counts=True)
-    weight = tf * idf[terms]
-    if len(terms) > KEY_TERMS:
-        some = np.argpartition(-weight, KEY_TERMS)[:KEY_TERMS]
-        terms, weight = terms[some], weight[some]
-    return terms[np.lexsort((terms, -weight))].astype(">u2").tobytes()
-
-
-def _keyed(idf: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [lexical_key(rest_of(x.as_buffer()), idf) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("t"), b.column("d"), b.column("ids")], names=["key", "t", "d", "ids"])
-
-    return run
-
-
 class Bm25:
     """Inverted index over pieces of token ids; a posting's weight is its whole BM25 term.
 
@@ -257,15 +261,15 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     repeated ones too; very long texts give whole windows of their own; extra columns, of any name, don't matter; an empty
     table gives no rows.
 
-    Documents are ranged by a lexical key under statistics of all documents, and each run of SHARD_ROWS of them is a
-    shard of the index with all its terms, so a seed searches the documents that share its heaviest terms; the work is
-    in proportion to the corpus. Copies and ties are ordered by hash, so any number of them spreads over shards.
+    Documents are ranged by a lexical key, and each run of SHARD_ROWS of them is a shard of the index with all its terms
+    under statistics of all documents, so a seed searches the documents that share its heaviest terms; the work is in
+    proportion to the corpus. Copies and ties are ordered by hash, so any number of them spreads over shards.
     """
     base = docs.select(doc_key().alias("d"), text_or_empty().cast("binary").alias("x"))
-    rows = materialize(base.mapInArrow(_tokens(path or tokenizer_path()), "d long, ids binary"), "tokens")
+    rows = base.mapInArrow(_tokens(path or tokenizer_path()), "d long, key binary, ids binary")
+    rows = materialize(rows.withColumn("t", F.xxhash64("ids")), "tokens")
     stats = corpus_statistics(rows)
-    keyed = rows.select(F.xxhash64("ids").alias("t"), "d", "ids").mapInArrow(_keyed(stats[0]), "key binary, t long, d long, ids binary")
     parts = max(1, min(MOST_PARTS, -(-stats[2] // PART_TOKENS)))
-    ranged = keyed.repartitionByRange(parts, "key", "t", "d").sortWithinPartitions("key", "t", "d")
+    ranged = rows.repartitionByRange(parts, "key", "t", "d").sortWithinPartitions("key", "t", "d")
     out = ranged.select("d", "ids").mapInArrow(_pack(stats), "d long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.select(id_or_null("d").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -137,7 +137,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.rows, self.k1, self.k2 = 0, np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.first, self.count = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.filled = np.zeros(4096, np.uint16), 0
         self.long: dict[bytes, int] = {}
         self.table = np.full(SLOTS, -1, np.int32)
@@ -211,7 +211,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as unsigned 16-bit numbers, `end` behind each if given, and where each text's ids begin (one more: the end)."""
-        if self.rows > MOST_SLOTS // 2:
+        if self.rows > MOST_SLOTS // 2 or self.filled > 8 * MOST_SLOTS:
             self._forget()
         apart = {i: t for i, t in enumerate(texts) if b"<|" in t and self.added.search(t)}
         buf = b"\n".join(b"" if i in apart else t for i, t in enumerate(texts)) + b"\n" * 17
@@ -246,7 +246,7 @@ class WordEncoder:
             row[i] = self.long[word]
         sizes = np.array([len(t) + 1 if i not in apart else 1 for i, t in enumerate(texts)], np.int64)
         text_at = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        counts = self.count[row]
+        counts = self.count[row].astype(np.int64)
         ids = self.pool[np.repeat(self.first[row] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
         at = np.concatenate([[0], np.cumsum(counts)])[text_at]
         if apart or end is not None:
