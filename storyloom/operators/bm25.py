@@ -1,7 +1,13 @@
-"""BM25 candidate pairs: postings joined on their term, partial sums per pair, the best of each query."""
+"""BM25 candidate pairs: blocks of texts as sparse matrices, a product for each pair of blocks, the best of each query."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +15,8 @@ from pyspark.sql.window import Window
 from ..runtime import materialize
 
 K1, B, EPSILON, TOP = 1.5, 0.75, 0.25, 10
+#: Texts of a block; a term is dense if its pairs fill one in DENSE cells of a product; dense terms of one product.
+BLOCK, DENSE, SLAB = 512, 64, 2048
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -18,37 +26,106 @@ def postings(texts: DataFrame) -> DataFrame:
 
 
 def weighted(post: DataFrame, n_docs: int, n_words: int) -> DataFrame:
-    """postings with `w`: a term's whole share of the score, for one occurrence in the query.
+    """postings with a number `tid` for each term and `w`: its whole share of the score, for one occurrence in the query.
 
     idf is log((n - df + 0.5) / (df + 0.5)); where that is negative, EPSILON times the mean idf of all terms.
     """
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("idf", F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    raw = post.groupBy("term").agg(F.log((F.lit(float(n_docs)) - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    raw = materialize(raw.withColumn("tid", F.monotonically_increasing_id()), "terms")
     mean = raw.agg(F.avg("idf")).first()[0] or 0.0
-    idf = raw.select("term", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf"))
+    idf = raw.select("term", "tid", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf"))
     length = post.groupBy("id").agg(F.sum("tf").alias("len"))
     mean_length = n_words / max(1, n_docs)
     out = post.join(idf, "term").join(length, "id")
     denominator = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(max(mean_length, 1e-9)))
-    return out.select("id", "seq", "term", "tf", (F.col("idf") * F.col("tf") * (K1 + 1) / denominator).alias("w"))
+    return out.select("id", "seq", "tid", "tf", (F.col("idf") * F.col("tf") * (K1 + 1) / denominator).alias("w"))
+
+
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of texts as one row: its texts, and its postings in the order of their terms."""
+    rows = rows.sort_values(["tid", "seq", "id"])
+    texts = rows[["id", "seq"]].drop_duplicates().sort_values(["seq", "id"]).reset_index(drop=True)
+    place = pd.Series(np.arange(len(texts), dtype=np.int32), index=pd.MultiIndex.from_frame(texts))
+    doc = place.reindex(pd.MultiIndex.from_frame(rows[["id", "seq"]])).to_numpy(np.int32)
+    raw = [c.tobytes() for c in (rows["tid"].to_numpy(np.int64), doc, rows["tf"].to_numpy(np.float64), rows["w"].to_numpy(np.float64))]
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [texts["id"].to_numpy()], "seqs": [texts["seq"].to_numpy()]} | {n: [r] for n, r in zip(("tid", "doc", "tf", "w"), raw)})
+
+
+class _Block:
+    def __init__(self, row: dict, value: str):
+        self.ids, self.seqs = np.asarray(row["ids"], np.int64), np.asarray(row["seqs"], np.int64)
+        tid, self.doc, self.value = (np.frombuffer(row[c], t) for c, t in (("tid", np.int64), ("doc", np.int32), (value, np.float64)))
+        self.terms, self.first, self.count = np.unique(tid, return_index=True, return_counts=True)
+
+    def rows_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the postings of some terms, and the number in `at` of each."""
+        n = self.count[at]
+        return np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(at)), n)
+
+
+def block_scores(queries: _Block, texts: _Block) -> np.ndarray:
+    """Score of each text for each query. Terms that many hold are a product of matrices, others are added one by one."""
+    shape = (len(queries.ids), len(texts.ids))
+    _, qa, ta = np.intersect1d(queries.terms, texts.terms, assume_unique=True, return_indices=True)
+    often = queries.count[qa] * texts.count[ta] * DENSE > shape[0] * shape[1]
+    out = np.zeros(shape)
+    for a in range(0, int(often.sum()), SLAB):
+        some = np.flatnonzero(often)[a : a + SLAB]
+        left, right = np.zeros((shape[0], len(some))), np.zeros((len(some), shape[1]))
+        p, k = queries.rows_of(qa[some])
+        left[queries.doc[p], k] = queries.value[p]
+        p, k = texts.rows_of(ta[some])
+        right[k, texts.doc[p]] = texts.value[p]
+        out += left @ right
+    qa, ta = qa[~often], ta[~often]
+    p, k = queries.rows_of(qa)
+    n = texts.count[ta][k]
+    other = np.repeat(texts.first[ta][k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    cell = np.repeat(queries.doc[p].astype(np.int64), n) * shape[1] + texts.doc[other]
+    return out + np.bincount(cell, np.repeat(queries.value[p], n) * texts.value[other], shape[0] * shape[1]).reshape(shape)
+
+
+def _best(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r].as_py() for c in b.schema.names}
+                q = _Block({c: row[f"{c}_q"] for c in ("ids", "seqs", "tid", "doc", "tf")}, "tf")
+                t = _Block({c: row[f"{c}_t"] for c in ("ids", "seqs", "tid", "doc", "w")}, "w")
+                score = np.floor(block_scores(q, t) * 1e6 + 0.5) / 1e6
+                i, j = np.nonzero((score > 0) & (q.ids[:, None] != t.ids[None, :]))
+                order = np.lexsort((t.seqs[j], -score[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < top], j[place < top]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q.ids[i], t.ids[j], q.seqs[i], t.seqs[j], score[i, j])], names=["query", "id", "query_seq", "seq", "score"])
+
+    return run
 
 
 def bm25_scores(texts: DataFrame, top: int = TOP) -> DataFrame:
     """(query, id, query_seq, seq, score): the `top` texts that score highest above 0 for each text as a query; ties by seq.
 
-    A query's repeated terms count as often as they occur. A frequent term is a skewed join key; its rows are split by AQE,
-    and sums are partial before their shuffle. Scores are rounded to 6 digits before ranking, so that the order in which
-    terms are added doesn't count.
+    A query's repeated terms count as often as they occur. All terms count, and each text is held against all others: blocks
+    of texts are dealt to a grid whose cells multiply them, so no term is a key and a frequent one costs no more rows. The
+    work grows with the square of the texts, at the price of a matrix product. Scores are rounded to 6 digits before
+    ranking, so that the order in which terms are added doesn't count.
     """
     n_docs = texts.count()
     post = materialize(postings(texts), "postings")
     n_words = post.agg(F.sum("tf")).first()[0] or 0
-    w = weighted(post, n_docs, n_words)
-    q = post.select("term", F.col("id").alias("query"), F.col("seq").alias("query_seq"), F.col("tf").alias("qtf"))
-    score = q.join(w.select("term", "id", "seq", "w"), "term").filter("query <> id")
-    score = score.groupBy("query", "query_seq", "id", "seq").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
+    block = F.floor(F.col("seq") / BLOCK).cast("long")
+    packs = weighted(post, n_docs, n_words).withColumn("block", block).groupBy("block").applyInPandas(_pack, "block long, ids array<long>, seqs array<long>, tid binary, doc binary, tf binary, w binary")
+    packs = materialize(packs, "packs")
+    side = max(1, math.isqrt(max(0, n_docs // BLOCK)))  # rows and columns of the grid
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    home = F.pmod(F.xxhash64("block"), F.lit(side)).cast("int")
+    q = packs.select(home.alias("i"), every.alias("j"), *(F.col(c).alias(f"{c}_q") for c in ("ids", "seqs", "tid", "doc", "tf")))
+    t = packs.select(every.alias("i"), home.alias("j"), *(F.col(c).alias(f"{c}_t") for c in ("ids", "seqs", "tid", "doc", "w")))
+    both = q.hint("shuffle_hash").join(t, ["i", "j"]).drop("i", "j")
+    score = both.mapInArrow(_best(top), "query long, id long, query_seq long, seq long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "seq")
-    return score.filter("score > 0").withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top).drop("_k")
+    return score.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top).drop("_k")
 
 
 def bm25_pairs(texts: DataFrame, top: int = TOP) -> DataFrame:
