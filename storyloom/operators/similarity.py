@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from .ordering import BLOCK, ranked
 
-#: Vectors of a pack.
-PACK = 512
+#: Vectors of a pack, and the most parts that packs of passages are dealt to.
+PACK, PARTS = 512, 4096
 LEAST_NORM = 1e-9
 
 
@@ -112,10 +112,15 @@ def semantic_topk_pairs(vectors: DataFrame, threshold: float = 0.6, top: int = 1
 def passage_topk(queries: DataFrame, passages: DataFrame, top: int = 2, least: float = 0.3) -> DataFrame:
     """(query, passage, rank, score): the `top` passages of each query with a cosine of at least `least`; ties by seq.
 
-    Each pack of queries meets each pack of passages; only the best of a pair of packs go on.
+    A row is no passage of its own id. Packs of passages are dealt to parts, and each pack of queries goes to every part,
+    so the work spreads over as many tasks as there are parts; only the best of a pair of packs go on.
     """
-    spread = lambda df: packs(df, F.lit(""), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // PACK)))))
-    found = _pairs(spread(passages), spread(queries), F.col("part_a") == F.col("part_b"), least, None, top)
+    parts = max(1, min(PARTS, passages.count() // PACK))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    ranges = lambda df: F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(max(1, -(-df.count() // PACK))))
+    left = packs(passages, F.lit(""), ranges(passages)).withColumn("part", part("block").cast("string"))
+    right = packs(queries, F.lit(""), ranges(queries)).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: k.cast("string"))))
+    found = _pairs(left, right, F.col("part_a") == F.col("part_b"), least, None, top + 1).filter("src <> dst")
     best = Window.partitionBy("dst").orderBy(F.col("score").desc(), "src_seq")
     found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return found.select(F.col("dst").alias("query"), F.col("src").alias("passage"), F.col("rank").cast("int").alias("rank"), "score")

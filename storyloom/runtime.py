@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, one of our own, which suits a single machine."""
+    """The folder that spark.checkpoint.dir names; where it is unset and all runs on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints/storyloom"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -12,10 +12,13 @@ QUOTE, MECHANISM = 300, 200
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def write_csv_tables(tables: dict[str, DataFrame], out_dir: str, files: int = 1) -> None:
-    """One folder <name>.csv per table, with a header also where a table is empty; other files there are left alone."""
+def write_csv_tables(tables: dict[str, DataFrame], out_dir: str, files: int | None = None) -> None:
+    """One folder <name>.csv per table, with a header in each file, also where a table is empty; other folders are left alone.
+
+    Every task writes its own file; `files` asks for at most that many, which suits small tables only.
+    """
     for name, df in tables.items():
-        df.coalesce(files).write.mode("overwrite").csv(f"{out_dir}/{name}.csv", header=True, escape='"', emptyValue="")
+        (df if files is None else df.coalesce(files)).write.mode("overwrite").csv(f"{out_dir}/{name}.csv", header=True, escape='"', emptyValue="")
 
 
 def _edge(df: DataFrame, start: str, end: str, kind: Column | str, *more: Column) -> DataFrame:
