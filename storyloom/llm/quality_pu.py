@@ -80,12 +80,31 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) of the logistic loss; full batches, Adam.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def risk_and_step(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) of the logistic loss, and the direction to descend against.
 
-    Where the bracket falls below zero the step goes up its gradient instead (Kiryo et al., 2017), so the model cannot
-    gain by fitting the positives among the unlabelled. Deterministic.
+    p and u hold the weights that a row uses, by number; the last weight is the bias. Where the bracket falls below zero
+    the direction goes up its gradient instead (Kiryo et al., 2017), so the model cannot gain by fitting the positives
+    among the unlabelled.
     """
+    k, size = p.shape[1], len(w) - 1
+
+    def back(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(x.ravel(), np.repeat(g, k), size), g.sum())
+
+    zp, zu = w[:-1][p].sum(axis=1) + w[-1], w[:-1][u].sum(axis=1) + w[-1]
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    rise = back(u, _sigmoid(zu)) / len(u) - prior * back(p, _sigmoid(zp)) / len(p)
+    risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    return risk, rise + prior * back(p, -_sigmoid(-zp)) / len(p) if negative >= 0 else -rise
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """Minimise the non-negative risk; full batches, Adam, weight decay. Deterministic."""
     k = len(FEATURES)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros((k, BINS - 1)), np.zeros((k, BINS)), float(np.log(prior / (1 - prior))), prior)
@@ -93,23 +112,42 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     cell = lambda x: model.bins(x) + np.arange(k) * BINS
     p, u = cell(positive), cell(unlabelled)
     w, m, v = np.zeros(k * BINS + 1), np.zeros(k * BINS + 1), np.zeros(k * BINS + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-    def back(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(x.ravel(), np.repeat(g, k), k * BINS), g.sum())
-
     for step in range(1, PASSES + 1):
-        zp, zu = w[:-1][p].sum(axis=1) + w[-1], w[:-1][u].sum(axis=1) + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        rise = back(u, sigmoid(zu)) / len(u) - prior * back(p, sigmoid(zp)) / len(p)
-        grad = rise + prior * back(p, -sigmoid(-zp)) / len(p) if negative >= 0 else -rise
-        grad += DECAY * np.append(w[:-1], 0)
+        grad = risk_and_step(w, p, u, prior)[1] + DECAY * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model.weights, model.bias = w[:-1].reshape(k, BINS), float(w[-1])
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """Share of positives among the unlabelled, from scores of positives that the scorer has not seen, and of unlabelled texts.
+
+    Above any score c, unlabelled texts hold at least prior times the share that positives have there, so the smallest
+    ratio of both shares bounds the prior from above; it is taken where it is smallest with its confidence bound (best
+    bin estimation, Garg et al., 2021).
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    error = np.sqrt(np.log(4 / doubt) / (2 * len(positive))) + np.sqrt(np.log(4 / doubt) / (2 * len(unlabelled)))
+    best = int(np.argmin((u + (1 + slack) * error) / p))
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+
+
+def fit_with_prior(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """fit() under a prior that comes from positives and unlabelled texts alone.
+
+    A first model of every other row scores the rest, from which the prior is estimated; the final one is fitted on all.
+    """
+    if not len(positive) or not len(unlabelled):
+        return fit(positive, unlabelled, 0.5)
+    first = fit(positive[::2], unlabelled[::2], 0.5)
+    return fit(positive, unlabelled, estimated_prior(first.score(positive[1::2]), first.score(unlabelled[1::2])))
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [np.asarray(features(t), np.float64) for t in b.column("x").to_pylist()]
@@ -134,14 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fit on bounded samples outside the held-out fold.
 
     Trusted positives are texts labelled 1; the unlabelled sample is drawn from all of docs, labels unseen; the class
-    prior is the share of 1 among labelled rows outside the held-out fold. Labels without a document, null labels and
-    null ids teach nothing. Without positives or texts every document scores the prior.
+    prior is estimated from both, so labels 0 are never read. Labels without a document, null labels and null ids teach
+    nothing. Repeated rows count as rows. Without positives or texts every document scores 0.5.
     """
-    known = labels.filter(~held_out() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n, ones = known.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
-    prior = min(max((ones or 0) / n if n else 0.5, 0.02), 0.98)
+    known = labels.filter(~held_out() & (F.col("quality") == 1))
     texts = docs.filter(~held_out()).select("doc_id", text_or_empty().cast("binary").alias("x"))
-    good = _sampled(known.filter("quality = 1").select("doc_id").distinct(), positives, 11)
+    good = _sampled(known.select("doc_id").distinct(), positives, 11)
     sample = texts.join(good, "doc_id").select(F.lit(1).alias("kind"), "x").limit(2 * positives)
     # Ids first: the sample's size is known before any text is read.
     web = _sampled(texts.select("doc_id"), unlabelled, 12).distinct()
@@ -151,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if rows.num_rows else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, kind))  # rows come in any order
     kind, x = kind[order], x[order]
-    return fit(x[kind == 1], x[kind == 0], prior)
+    mixed = np.random.default_rng(13).permutation(len(kind))  # neighbours in the sorted order are alike
+    kind, x = kind[mixed], x[mixed]
+    return fit_with_prior(x[kind == 1], x[kind == 0])
 
 
 def _scorer(model: Model):
@@ -168,7 +206,8 @@ def _scorer(model: Model):
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0).
 
-    Only the text is scored; null texts count as empty. Without a shuffle.
+    Only the text is scored; null texts count as empty, very long ones are read whole. Repeated rows come out alike, ties
+    score alike, other columns don't matter, whatever their names, and an empty table gives no rows. Without a shuffle.
     """
     base = docs.select(doc_key().alias("d"), held_out().alias("held_out"), text_or_empty().cast("binary").alias("x"))
     out = base.mapInArrow(_scorer(model), "d long, held_out boolean, score double")

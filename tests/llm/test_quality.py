@@ -92,3 +92,42 @@ def test_no_labels_no_texts(spark):
     assert {round(r.score, 6) for r in out.collect()} == {0.5}
     assert out.count() == docs.count()
     assert quality_pu.score_documents(documents(spark, []), model).count() == 0
+
+
+def test_risk_and_its_gradient():
+    """Against the definition, row by row, and finite differences where the bracket is positive."""
+    rng = np.random.default_rng(1)
+    p, u = rng.integers(0, 6, (20, 3)), rng.integers(0, 6, (30, 3))
+    loss = lambda z: np.log(1 + np.exp(-z))
+    z = lambda w, row: sum(w[i] for i in row) + w[-1]
+    seen = set()
+    for k in range(40):
+        w, prior = rng.normal(0, 1 + k % 4, 7), 0.2 + 0.6 * (k % 2)
+        bracket = np.mean([loss(-z(w, r)) for r in u]) - prior * np.mean([loss(-z(w, r)) for r in p])
+        risk, step = quality_pu.risk_and_step(w, p, u, prior)
+        assert risk == pytest.approx(prior * np.mean([loss(z(w, r)) for r in p]) + max(0, bracket))
+        seen.add(bracket >= 0)
+        each = np.eye(7) * 1e-6
+        if bracket > 0.01:
+            assert step == pytest.approx([(quality_pu.risk_and_step(w + e, p, u, prior)[0] - risk) / 1e-6 for e in each], abs=1e-4)
+        elif bracket < -0.01:
+            part = lambda w: np.mean([loss(-z(w, r)) for r in u]) - prior * np.mean([loss(-z(w, r)) for r in p])
+            assert step == pytest.approx([-(part(w + e) - part(w)) / 1e-6 for e in each], abs=1e-4)
+    assert seen == {True, False}
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(2)
+    positive = rng.beta(6, 2, 4000)
+    mixed = np.where(rng.random(8000) < prior, rng.beta(6, 2, 8000), rng.beta(1, 9, 8000))
+    assert quality_pu.estimated_prior(positive, mixed) == pytest.approx(prior, abs=0.06)
+
+
+def test_awkward_texts_and_repeated_rows_score(spark):
+    rows = awkward_texts()
+    labels = spark.createDataFrame([(i, int((i or 0) % 3 > 0), 0) for i, _ in rows] + [(4, None, None), (4, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    out = quality_pu.score_documents(docs, quality_pu.train(docs, labels)).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id == 5}) == 1
