@@ -11,8 +11,9 @@ from .common import SPACE, doc_key, id_or_null, materialize, text_or_empty
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Rows that a (language, source) needs for an estimate of its own; smaller ones are judged by their language's, or by that of all rows.
 MIN_ROWS = 200
-#: Share of rows that an estimate rests on, and refinements (C-steps) of that half.
-KEPT_SHARE, STEPS = 0.75, 3
+#: Share of rows that an estimate rests on; mean change of a group's log-determinant at which C-steps count as converged, and
+#: the most steps (quantile sketches can make the last changes go back and forth).
+KEPT_SHARE, SETTLED, MOST_STEPS = 0.75, 1e-3, 20
 #: The statistics and the least standard deviation that each counts with.
 STATS = {"s_words": 0.7, "s_length": 0.12, "s_symbols": 0.35, "s_lines": 0.7, "s_repeats": 0.08}
 #: Chi-square of five degrees of freedom: the median, and the rejection bound (a chance of 1e-6).
@@ -122,18 +123,27 @@ def _start(rows: DataFrame) -> DataFrame:
 def mcd_distances(rows: DataFrame) -> DataFrame:
     """rows (with g and the statistics) and `dist`: squared robust distance by fast-MCD C-steps per group.
 
-    Each step keeps the KEPT_SHARE of a group's rows nearest to its estimate and estimates anew from those. All are
-    grouped partial sums and quantile sketches over narrow rows, so a group of any size is never gathered.
+    From medians and the spread of the middle rows, each step keeps the KEPT_SHARE of a group's rows nearest to its
+    estimate and estimates anew from those, until determinants fall no more. It is a regularised estimate: STATS adds a
+    least variance to each statistic, so a group whose rows are all alike rejects no near neighbour. As the nearest rows
+    vary less than all, distances are set in proportion so that their median is that of the chi-square distribution, where
+    that makes them smaller. All are grouped partial sums and quantile sketches over narrow rows, so a group of any size
+    is never gathered; the driver sees one row a step.
     """
-    est = _start(rows)
-    for _ in range(STEPS):
+    est, before = _start(rows), float("inf")
+    spread = sum(F.log(f"l{i}{i}") for i in range(len(STATS)))
+    for _ in range(MOST_STEPS):
         far = _with_distance(rows, est)
         bound = materialize(far.groupBy("g").agg(F.percentile_approx("dist", KEPT_SHARE, 1000).alias("bound")), "bound")
         est = _estimate(far.join(bound, "g").filter("dist <= bound"))
+        now, groups = est.agg(F.sum(2 * spread), F.count("*")).first()
+        if not groups or abs(before - now) <= SETTLED * groups:
+            break
+        before = now
     far = _with_distance(rows, est)
     middle = materialize(far.groupBy("g").agg(F.percentile_approx("dist", 0.5, 1000).alias("middle")), "bound")
-    spread = F.greatest(F.col("middle") / MEDIAN, F.lit(1.0))
-    return far.join(middle, "g").withColumn("dist", F.col("dist") / spread).drop("middle")
+    ratio = F.greatest(F.col("middle") / MEDIAN, F.lit(1.0))
+    return far.join(middle, "g").withColumn("dist", F.col("dist") / ratio).drop("middle")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -152,7 +162,8 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
     Words are runs of `[^\\x20\\x09-\\x0D]`; null texts have none and fail. Documents that pass the base rules are kept
     unless their transformed statistics lie beyond BOUND from the robust estimate of their lang and source (null counts
-    as a value of its own), or of the wider pool that holds a small group. Repeated rows come out alike.
+    as a value of its own), or of the wider pool that holds a small group. Repeated rows come out alike; very long texts
+    are counted within their row; other columns don't matter, whatever their names; an empty table gives no rows.
     """
     return _judged(docs).select(id_or_null("d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
