@@ -91,9 +91,12 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     raise RuntimeError(f"ranks are not settled after {MOST_STEPS} steps")
 
 
-def judge_hosts(parsed: DataFrame) -> DataFrame:
+def judge_hosts(parsed: DataFrame, domains: bool = False) -> DataFrame:
     """(host, trust, distrust, blocked) from pages with page-level rule verdicts.
 
+    Edges are the links that pages hold. domains: also both ways between a host and its parent domain, which no page
+    states; off in production.
+
     A host is a trusted seed by the share of its pages that a rule allows, and a blocked seed by the share that a rule
     blocks. Trust flows along links; distrust flows against them, from blocked hosts to those that link there. A host is
     blocked if it has more distrust than trust, and more than BLOCK_SHARE of what a wholly blocked seed has by itself;
@@ -101,7 +104,10 @@ def judge_hosts(parsed: DataFrame) -> DataFrame:
     """
     seeds = parsed.groupBy("host").agg(F.avg(F.when(F.col("rule_verdict") == "allow", 1.0).otherwise(0.0)).alias("good"), F.avg(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
     seeds = materialize(seeds.filter("host <> ''"), "hosts")
-    edges = materialize(host_links(parsed).unionByName(domain_links(seeds)).groupBy("src", "dst").agg(F.sum("n").alias("n")), "edges")
+    edges = host_links(parsed)
+    if domains:
+        edges = edges.unionByName(domain_links(seeds)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    edges = materialize(edges, "edges")
     trust = personalised_rank(edges, seeds.select("host", F.col("good").alias("seed")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_rank(back, seeds.select("host", F.col("bad").alias("seed"))).withColumnRenamed("mass", "distrust")
@@ -114,7 +120,8 @@ def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A url's rule decides where one fits; other pages take their host's verdict. Null urls and those without `://` have
     an empty host and path, fit no rule and are allowed. Null html has no links. Repeated rows come out alike; an empty
-    table gives none. Only DataFrame functions run.
+    table gives none; very long urls and pages are read whole; other columns, of any name, don't matter. Only DataFrame
+    functions run.
     """
     url = F.col("url").cast("string")
     page = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), F.col("html").cast("string").alias("html"))
