@@ -109,10 +109,10 @@ def semantic_topk_pairs(vectors: DataFrame, threshold: float = 0.6, top: int = 1
     return found.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top).select("src", "dst", "score")
 
 
-def passage_topk(queries: DataFrame, passages: DataFrame, top: int = 2, least: float = 0.3) -> DataFrame:
+def passage_topk(queries: DataFrame, passages: DataFrame, top: int = 2, least: float = 0.3, same_ids: bool = False) -> DataFrame:
     """(query, passage, rank, score): the `top` passages of each query with a cosine of at least `least`; ties by seq.
 
-    A row is no passage of its own id. Packs of passages are dealt to parts, and each pack of queries goes to every part,
+    A row is no passage of its own id, unless ids of queries and passages are of different kinds (same_ids). Packs of passages are dealt to parts, and each pack of queries goes to every part,
     so the work spreads over as many tasks as there are parts; only the best of a pair of packs go on.
     """
     parts = max(1, min(PARTS, passages.count() // PACK))
@@ -120,7 +120,8 @@ def passage_topk(queries: DataFrame, passages: DataFrame, top: int = 2, least: f
     ranges = lambda df: F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(max(1, -(-df.count() // PACK))))
     left = packs(passages, F.lit(""), ranges(passages)).withColumn("part", part("block").cast("string"))
     right = packs(queries, F.lit(""), ranges(queries)).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: k.cast("string"))))
-    found = _pairs(left, right, F.col("part_a") == F.col("part_b"), least, None, top + 1).filter("src <> dst")
+    found = _pairs(left, right, F.col("part_a") == F.col("part_b"), least, None, top + 1)
+    found = found if same_ids else found.filter("src <> dst")
     best = Window.partitionBy("dst").orderBy(F.col("score").desc(), "src_seq")
     found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return found.select(F.col("dst").alias("query"), F.col("src").alias("passage"), F.col("rank").cast("int").alias("rank"), "score")

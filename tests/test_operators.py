@@ -1,7 +1,7 @@
-import numpy as np
 """Operators on small tables worked out by hand or by brute force."""
 
 import json
+import math
 import random
 import re
 
@@ -16,6 +16,7 @@ from storyloom.functions import text as T
 from storyloom.operators import assess, candidates, causal, context, coreference, ordering, parsing, scenes, similarity, themes
 from storyloom.plans.stages import Checkpoints
 from storyloom.plans.story import Assessors, story_graph
+from storyloom.plans.story import candidate_pools as candidates_of
 from storyloom.sinks import writers
 from storyloom.sources import readers
 
@@ -203,7 +204,19 @@ def test_assessors(spark):
     def broken(part):
         raise OSError("no network")
 
-    assert {r.twice for r in assess.Batched(broken, "twice long").assess(df).collect()} == {None}
+    assert {r.twice for r in assess.Batched(broken, "twice long", wait=lambda n, limited: 0).assess(df).collect()} == {None}
+    told = assess.Batched(broken, "twice long", size=4, tries=2, wait=lambda n, limited: 0, report=True).assess(df)
+    assert {(r.status, r.error) for r in told.collect()} == {("failed", "OSError: no network")}
+    assert tuple(assess.failures(told).first()) == (7, 7, 1.0, "OSError: no network")
+    good = assess.Batched(lambda part: pd.DataFrame({"twice": part["id"] * 2}), "twice long", report=True).assess(df)
+    assert tuple(assess.failures(good).first()) == (7, 0, 0.0, None)
+    assert [assess.backoff(n, False) for n in range(4)] == [1, 2, 4, 8] and [assess.backoff(n, True) for n in range(3)] == [30, 45, 60]
+
+    def limited(part):
+        raise assess.RateLimited("slow down")
+
+    with pytest.raises(Exception, match="slow down"):
+        assess.Batched(limited, "twice long", tries=2, wait=lambda n, limited: 0).assess(df).collect()
     cache = spark.createDataFrame([], "key string, twice long")
     rule = assess.RuleBased(twice=F.col("id") * 2)
     answered, fresh = assess.cached(df, cache, rule, "m", ["id"], ["twice"])
@@ -244,12 +257,20 @@ def test_whole_run(spark, tmp_path):
         assess.RuleBased(relation=F.lit("enables"), theory=F.lit("mckee"), mechanism=F.lit("m"), weight=F.lit(0.5), confidence=F.lit(0.7), ord=F.lit(0)),
         assess.RuleBased(involvement=F.when(F.col("theme") == "POWER", "direct"), role=F.lit(None).cast("string"), confidence=F.lit("0.5")),
     )
+    vec = F.array(F.char_length("text").cast("double"), F.lit(1.0))
+    ask.agents, ask.vectors = assess.RuleBased(agent_type=F.when(F.col("name") == "Pip", "PROTAGONIST_HERO")), assess.RuleBased(vec=vec)
+    asked = []
+    rule = ask.pairs
+    ask.pairs = type("Spy", (), {"assess": lambda self, rows: (asked.append(rows), rule.assess(rows))[1]})()
     store = Checkpoints(spark, str(tmp_path / "ck"), "book", {})
     out = story_graph(spark.createDataFrame([(text,)], "text string"), ask, store)
     assert out["events"].count() == 4 and out["follows"].count() == 2 and out["links"].count() == 6
     assert {r.scene for r in out["members"].collect()} == {"scene/one", "scene/1/rest", "scene/2/rest"}
     assert {r.label for r in out["nodes"].collect()} == {"Event", "Agent", "Scene"}
-    assert len(store.list()) >= 5
+    assert len(store.list()) == 7
+    assert {r.name: r.agent_type for r in out["agents"].collect()} == {"Pip": "PROTAGONIST_HERO", "Joe": "STRUCTURAL_AGENT"}
+    pairs = asked[0].collect()
+    assert all(r.src_text and r.dst_text for r in pairs) and len(pairs) == 6
     again = story_graph(spark.createDataFrame([(text,)], "text string"), ask, store)
     assert again["edges"].count() == out["edges"].count()
     events = out["events"].withColumns({"name": F.col("description"), "scene": F.lit(""), "notes": F.lit(None).cast("string")})
@@ -270,6 +291,30 @@ def test_whole_run(spark, tmp_path):
     assert re.search(r"\[r:ENABLES\]", "".join(r.statement for r in edges.collect()))
 
 
+def test_a_dead_model_stops_the_run(spark, tmp_path):
+    def dead(part):
+        raise OSError("no network")
+
+    none = assess.RuleBased()
+    ask = Assessors(assess.Batched(dead, "answer string", tries=1, report=True), none, none, none)
+    with pytest.raises(RuntimeError, match="1 of 1 chunks have no answer: OSError: no network"):
+        story_graph(spark.createDataFrame([("CHAPTER I\nOne. Two.",)], "text string"), ask, Checkpoints(spark, str(tmp_path), "book", {}))
+
+
+def test_pools_of_a_run(spark):
+    rows = [(i, i, i // 6, f"word{i % 4} same text") for i in range(18)]
+    order = spark.createDataFrame(rows, "id long, seq long, chapter int, text string")
+    none, member = spark.createDataFrame([], "key string, id long, seq long"), order.select(F.col("chapter").cast("string").alias("scene"), "id")
+    plain = candidates_of(order, none, member, None, 0.5)
+    assert set(plain) == {"adjacent", "window", "entity", "bm25", "proximity"}
+    far = order.select("id", "seq", F.array(F.cos(F.col("id").cast("double")), F.sin(F.col("id").cast("double"))).alias("vec"))
+    assert "proximity" in candidates_of(order, none, member, far, 1.1)
+    near = candidates_of(order, none, member, far, 0.5)
+    assert {"scene", "longshot"} < set(near) and "proximity" not in near
+    got, angle = set(tuples(near["scene"])), lambda a, b: math.cos(a - b)
+    assert got == {(a, b) for a in range(18) for b in range(a + 1, 18) if a // 6 == b // 6 and angle(a, b) >= 0.5}
+
+
 def test_streams(spark, sf, tmp_path):
     from storyloom.streaming import events as S
 
