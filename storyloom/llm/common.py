@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: White space of every word contract here: the ASCII set `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Spark's setting for the bytes of an Arrow batch, and what intermediate tables are written with.
+BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(12 << 20)
 #: Stands for a null doc_id inside joins and sorts: below every real id.
 NO_ID = -(2**63)
 
@@ -31,11 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the application ends, or with discard().
+    Arrow batches hold MOST_BATCH_BYTES, so neither a task nor its Python worker holds many texts at once. The files go
+    when the application ends, or with discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/storyloom-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, MOST_BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
