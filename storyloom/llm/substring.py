@@ -20,7 +20,7 @@ WINDOW = 35
 #: Words of the short runs inside a window of which the least hash is its anchor.
 ANCHOR = 10
 #: Bytes of text whose windows are counted together before they travel.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 KEPT = "__sl_kept"
 _TOP = np.uint64(2**64 - 1)
 
