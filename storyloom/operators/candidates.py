@@ -97,6 +97,16 @@ def proximity_pairs(events: DataFrame, members: DataFrame | None = None, reach:
     return out.distinct()
 
 
+def archived_pairs(events: DataFrame, occurrences: DataFrame, places: DataFrame) -> DataFrame:
+    """The archived pools: each event with the four before it, and with the next one that holds the same actor, patient or place.
+
+    occurrences and places: (key, id, seq).
+    """
+    out = offset_pairs(events, range(1, 5)).unionByName(entity_pairs(occurrences))
+    near = ranked(places, ["key"], ["seq", "id"], F.floor(F.col("seq") / BLOCK), "occ")
+    return out.unionByName(offset_pairs(near, range(1, 2), ["key"], "occ")).filter("src <> dst").distinct()
+
+
 def peak_events(events: DataFrame, share: int = 10, least: int = 10) -> DataFrame:
     """The max(least, n / share) events of highest score; ties by seq.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import canonical_uid
@@ -90,3 +90,38 @@ def causal_assertions(links: DataFrame) -> DataFrame:
     """Reified links: (start, end, type) with a node for each link, CAUSE from its source and EFFECT to its target."""
     uid = F.concat_ws("__", F.lit("assertion"), F.col("src").cast("string"), F.col("dst").cast("string"))
     return links.select(F.explode(F.array(F.struct(F.col("src").cast("string").alias("start"), uid.alias("end"), F.lit("CAUSE").alias("type")), F.struct(uid.alias("start"), F.col("dst").cast("string").alias("end"), F.lit("EFFECT").alias("type")))).alias("e")).select("e.*")
+
+
+def chain_nodes(events: DataFrame, productions: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(uid, label, name) of the chain graph: entities have a node for each event that holds them, `type:name@event`.
+
+    Of several productions of one node the last by ord gives its name.
+    """
+    out = events.select(F.col("id").cast("string").alias("uid"), F.lit("Event").alias("label"), F.col("name").cast("string").alias("name"))
+    label = F.when(F.col("entity_type") == "whyfactor", "WhyFactor").otherwise("Agent").alias("label")
+    own = productions.filter(F.col("entity_type").isin(*_KIND_ORDER)).select(_occurrence_uid().alias("uid"), label, "entity_name", "ord")
+    out = out.unionByName(own.groupBy("uid", "label").agg(F.max_by("entity_name", "ord").alias("name")))
+    return out.unionByName(scenes.select(F.col("scene").alias("uid"), F.lit("Scene").alias("label"), F.col("theme").alias("name")))
+
+
+def _occurrence_uid() -> Column:
+    return F.concat(F.col("entity_type"), F.lit(":"), F.btrim(F.lower("entity_name")), F.lit("@"), F.col("event_id").cast("string"))
+
+
+def chain_edges(events: DataFrame, productions: DataFrame, member: DataFrame, links: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """(start, end, type) of the chain graph: INCLUDES of scenes, PRODUCES from events to their entities, entities to the
+    next event that holds them, FOLLOWS inside a chapter, causal links by their relation, and semantic links between known
+    events."""
+    text = lambda c, n: F.col(c).cast("string").alias(n)
+    fixed = lambda df, a, b, kind: df.select(text(a, "start"), text(b, "end"), kind.alias("type"))
+    known = events.select("id")
+    out = fixed(member.join(known, "id", "left_semi"), "scene", "id", F.lit("INCLUDES"))
+    own = productions.filter(F.col("entity_type").isin(*_KIND_ORDER)).withColumn("uid", _occurrence_uid())
+    out = out.unionByName(fixed(own, "event_id", "uid", F.lit("PRODUCES")))
+    out = out.unionByName(fixed(chain_links(productions), "start", "next_event", F.col("type")))
+    out = out.unionByName(fixed(follows(events), "src", "dst", F.lit("FOLLOWS")))
+    out = out.unionByName(fixed(links, "src", "dst", F.col("relation")))
+    if semantic is not None:
+        both = semantic.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        out = out.unionByName(fixed(both, "src", "dst", F.upper("type")))
+    return out

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folds_sql as S
 from .functions import expressions as X
 from .functions import text as T
 from .functions import vocabulary as V
-from .operators import bm25, candidates, causal, context, coreference, graph, parsing, scenes, similarity, themes, tools
+from .operators import assess, bm25, candidates, causal, context, coreference, graph, parsing, prompts, scenes, similarity, themes, tools
 from .operators.assess import bulk_size
 from .operators.ordering import follows
 from .plans import tables as D
@@ -565,21 +566,18 @@ def document_paragraphs(spark, sf):
     return D.load(spark, sf, "documents").select("doc_id", F.explode(T.chapters("text")).alias("c")).select("doc_id", "c.number", "c.body")
 
 
-@query()
+@query(S.SENTENCE_CHUNKS)
 def sentence_chunks(spark, sf):
-    """Greedy folds have no SQL form; tests hold them against brute force."""
     return D.load(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks("text")).alias("chunk", "text"))
 
 
-@query()
+@query(S.PARAGRAPH_CHUNKS)
 def paragraph_chunks(spark, sf):
-    """Greedy folds have no SQL form; tests hold them against brute force."""
     return D.load(spark, sf, "documents").select("doc_id", F.posexplode(T.paragraphs("text")).alias("piece", "text"))
 
 
-@query()
+@query(S.PASSAGES)
 def passages(spark, sf):
-    """Greedy folds have no SQL form; tests hold them against brute force."""
     return D.load(spark, sf, "documents").select("doc_id", F.posexplode(T.passages("text")).alias("passage", "text"))
 
 
@@ -680,3 +678,144 @@ def story_stats(spark, sf):
     ev, pr, mb = _graph_parts(spark, sf)
     characters = pr.filter(F.col("entity_type").isin("actor", "patient")).select("entity_name").distinct()
     return run_stats({"events": ev, "productions": pr, "links": D.links(spark, ev), "scenes": mb.select("scene").distinct(), "characters": characters})
+
+
+# --- run pools, prompts, answers ---
+
+_AGE = "CASE WHEN pools & 4 <> 0 THEN 3 WHEN pools & 2 <> 0 THEN 4 WHEN pools & 1 <> 0 THEN 5 ELSE 6 END"
+
+
+@query(f"""SELECT p.src, p.dst, p.pools, b.seq - a.seq AS gap, {_AGE} AS priority FROM (SELECT src, dst, CAST(bit_or(b) AS INTEGER) AS pools FROM (
+        SELECT src, dst, 1 AS b FROM adj UNION ALL SELECT src, dst, 2 FROM win UNION ALL SELECT src, dst, 4 FROM ent
+        UNION ALL SELECT a.id, b.id, 8 FROM ev a JOIN (SELECT unnest(range(1, 6)) AS o) ON true JOIN ev b ON b.seq = a.seq + o) GROUP BY src, dst) p
+    JOIN ev a ON a.id = p.src JOIN ev b ON b.id = p.dst ORDER BY priority, gap, src, dst LIMIT {TIER_PAIRS}""", "adj", "win", "ent", "ev")
+def fallback_cap(spark, sf):
+    """Pairs of a run without vectors: proximity stands in for similarity, under the same cap."""
+    ev = D.order(spark, sf)
+    pools = D.local_pools(ev) | {"proximity": candidates.proximity_pairs(ev)}
+    return candidates.priority_cap(candidates.with_gap(candidates.pooled(pools), ev), list(pools), TIER_PAIRS)
+
+
+@query("""SELECT DISTINCT src, dst FROM (SELECT a.id AS src, b.id AS dst FROM ev a JOIN (SELECT unnest([1, 2, 3, 4]) AS o) ON true JOIN ev b ON b.seq = a.seq + o
+    UNION ALL SELECT * FROM ent UNION ALL SELECT id, lead(id) OVER (PARTITION BY event_type ORDER BY seq) FROM ev) WHERE dst IS NOT NULL AND src <> dst""", "ev", "ent")
+def archived_pairs(spark, sf):
+    ev = D.order(spark, sf)
+    places = ev.select(F.concat(F.lit("place:"), "event_type").alias("key"), "id", "seq")
+    return candidates.archived_pairs(ev, D.occurrences(ev, "user_id"), places)
+
+
+@query(f"""SELECT doc_id, {', '.join(f"left(text, {n}) AS {k}" for k, n in prompts.CUTS.items())} FROM documents""")
+def prompt_texts(spark, sf):
+    return D.load(spark, sf, "documents").select("doc_id", *(prompts.cut_text("text", k).alias(k) for k in prompts.CUTS))
+
+
+@query("""SELECT id, op, CASE WHEN small THEN least(t, 4096) ELSE t END AS tokens FROM (SELECT id, op, small, CAST(CASE op WHEN 'scenes' THEN 16000
+        WHEN 'integrated' THEN least(16000, 5000 + 400 * pairs) WHEN 'causal' THEN least(16000, 4000 + 300 * pairs)
+        WHEN 'events' THEN CASE WHEN greatest(n // 100, 15) * 400 + 4000 > 12000 THEN 16000 ELSE greatest(n // 100, 15) * 400 + 4000 END ELSE greatest(asked, 8000) END AS BIGINT) AS t FROM (
+        SELECT id, ['scenes', 'integrated', 'causal', 'events', 'other'][1 + id % 5] AS op, id % 7 = 0 AS small, id % 60 AS pairs, length(text) * (1 + id % 9) AS n, 100 * (id % 200) AS asked FROM tn))""", "tn")
+def prompt_budget(spark, sf):
+    i = F.col("id")
+    rows = D.turns(spark, sf).select("id", D.pick(i % 5, ("scenes", "integrated", "causal", "events", "other")).alias("op"), F.when(i % 7 == 0, "gpt-3.5-turbo").otherwise("large").alias("model"), (i % 60).alias("pairs"), (F.char_length("text") * (1 + i % 9)).alias("n"), (100 * (i % 200)).alias("asked"))
+    return rows.select("id", "op", prompts.token_budget("op", "n", "pairs", "asked", "model").alias("tokens"))
+
+
+@query("SELECT id, seq, chapter FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS r FROM ev) WHERE r <= 20", "ev")
+def prompt_events(spark, sf):
+    """A cap of 20 instead of 200, which no chapter of the smallest tables reaches."""
+    return prompts.capped_events(D.order(spark, sf).select("id", "seq", "chapter"), 20)
+
+
+@query("""SELECT kind, ord, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ord, name) AS r FROM (
+    SELECT ['event', 'relation', 'agent'][1 + user_id % 3] AS kind, min(id) AS ord, 'T' || user_id AS name FROM ev GROUP BY user_id)) WHERE r <= CASE kind WHEN 'relation' THEN 15 ELSE 20 END""", "ev")
+def prompt_vocabulary(spark, sf):
+    rows = D.order(spark, sf).groupBy("user_id").agg(F.min("id").alias("ord"))
+    return prompts.capped_vocabulary(rows.select(D.pick(F.col("user_id") % 3, ("event", "relation", "agent")).alias("kind"), "ord", F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("name")))
+
+
+@query("""SELECT 'events' AS cache, count(DISTINCT text) AS entries FROM tn UNION ALL SELECT 'pairs', count(DISTINCT role || '::' || text) FROM tn""", "tn")
+def cache_statistics(spark, sf):
+    rows = D.turns(spark, sf)
+    return prompts.cache_sizes({"events": rows.select(X.cache_key("m", "text").alias("key")), "pairs": rows.select(X.cache_key("m", "role", "text").alias("key"))})
+
+
+@query("""SELECT 'registered_characters' AS what, count(DISTINCT entity_name) AS n FROM pr WHERE entity_type = 'actor'
+    UNION ALL SELECT 'total_aliases', count(*) FROM (SELECT DISTINCT entity_name, event_id % 3 FROM pr WHERE entity_type = 'actor') UNION ALL SELECT 'cooccurrence_pairs', count(*) FROM adj""", "pr", "adj")
+def resolver_statistics(spark, sf):
+    ev = D.events(spark, sf)
+    pr = D.productions(ev)
+    resolved = pr.select(F.concat_ws("/", "entity_name", (F.col("event_id") % 3).cast("string")).alias("mention"), F.when(F.col("entity_type") == "actor", F.col("entity_name")).alias("name"))
+    return prompts.resolver_statistics(resolved, candidates.adjacent_pairs(ev))
+
+
+@query("SELECT id, sha256('m::' || role || '::' || text) AS key, 'event/' || left(sha256(chapter || '|' || seq), 16) AS uid FROM tn", "tn")
+def cache_keys(spark, sf):
+    return D.turns(spark, sf).select("id", X.cache_key("m", "role", "text").alias("key"), X.natural_id("event", "chapter", "seq").alias("uid"))
+
+
+@query("""SELECT chapter, count(*) AS chunks, CAST(sum(CASE WHEN seq % 3 = 1 THEN 0 ELSE 1 END) AS BIGINT) AS failed,
+    round(sum(CASE WHEN seq % 3 = 1 THEN 0 ELSE 1 END) / count(*), 4) AS rate, round(sum(CASE WHEN seq % 3 = 1 THEN 0 ELSE 1 END) / count(*), 4) > 0.3 AS flagged FROM tn GROUP BY chapter""", "tn")
+def chunk_failures(spark, sf):
+    """Answers without events, without JSON, and null ones fail."""
+    answer = F.when(F.col("seq") % 3 == 1, '{"events": [{"raw_description": "a"}]}').when(F.col("seq") % 6 == 0, '{"events": []}').when(F.col("seq") % 6 == 3, "none")
+    return parsing.chunk_failures(D.turns(spark, sf).select("chapter", answer.alias("answer")))
+
+
+@query("""SELECT name, CASE CAST(right(name, 1) AS INTEGER) % 4 WHEN 0 THEN 'PROTAGONIST_HERO' WHEN 1 THEN 'ALLY_MENTOR' ELSE 'STRUCTURAL_AGENT' END AS agent_type
+    FROM (SELECT DISTINCT entity_name AS name FROM pr WHERE entity_type IN ('actor', 'patient'))""", "pr")
+def agent_types(spark, sf):
+    """Names with an answer, with an unknown one, and with none."""
+    names = D.productions(D.events(spark, sf)).filter(F.col("entity_type").isin("actor", "patient")).select(F.col("entity_name").alias("name")).distinct()
+    last = F.right("name", F.lit(1)).cast("int") % 4
+    answers = names.filter(last < 3).select("name", F.when(last == 0, "PROTAGONIST_HERO").when(last == 1, "ALLY_MENTOR").otherwise("NON_AGENT").alias("agent_type"))
+    return assess.agent_types(names, answers)
+
+
+@query("""SELECT event_id, event_seq, name AS entity_name, kind AS entity_type FROM (
+    SELECT id AS event_id, seq AS event_seq, left(k, CAST(1 + id % 3 AS BIGINT)) AS name, 'actor' AS kind FROM ev WHERE k IS NOT NULL
+    UNION ALL SELECT id, seq, event_type, 'whyfactor' FROM ev UNION ALL SELECT id, seq, location, 'place' FROM ev WHERE location IS NOT NULL) WHERE length(name) > 1""", "ev")
+def short_mentions(spark, sf):
+    none = F.array().cast("array<string>")
+    rows = D.events(spark, sf).withColumns({"actors": F.when(F.col("k").isNotNull(), F.array(F.left("k", (1 + F.col("id") % 3).cast("int")))).otherwise(none), "patients": none, "why_factors": F.array("event_type")})
+    return parsing.productions_of(rows).select("event_id", "event_seq", "entity_name", "entity_type")
+
+
+@query("""SELECT CAST(id AS VARCHAR) AS uid, 'Event' AS label, event_type || ' ' || id AS name FROM ev
+    UNION ALL SELECT uid, label, arg_max(entity_name, ord) FROM (SELECT entity_type || ':' || lower(entity_name) || '@' || event_id AS uid, CASE entity_type WHEN 'whyfactor' THEN 'WhyFactor' ELSE 'Agent' END AS label, entity_name, ord FROM pr) GROUP BY uid, label
+    UNION ALL SELECT scene, 'Scene', 'Chapter ' || chapter FROM (SELECT DISTINCT scene, chapter FROM mb)""", "ev", "pr", "mb")
+def chain_nodes(spark, sf):
+    ev, pr, mb = _graph_parts(spark, sf)
+    table = mb.select("scene", "chapter").distinct().select("scene", F.concat(F.lit("Chapter "), F.col("chapter").cast("string")).alias("theme"))
+    return graph.chain_nodes(ev.withColumn("name", F.concat_ws(" ", "event_type", F.col("id").cast("string"))), pr, table)
+
+
+@query("""SELECT scene AS start, CAST(id AS VARCHAR) AS "end", 'INCLUDES' AS type FROM mb
+    UNION ALL SELECT CAST(event_id AS VARCHAR), entity_type || ':' || lower(entity_name) || '@' || event_id, 'PRODUCES' FROM pr
+    UNION ALL SELECT * FROM (SELECT entity_type || ':' || lower(entity_name) || '@' || event_id, CAST(lead(event_id) OVER (PARTITION BY entity_type, lower(entity_name) ORDER BY event_seq, event_id) AS VARCHAR) AS n,
+        CASE entity_type WHEN 'actor' THEN 'ACTS_IN' WHEN 'patient' THEN 'AFFECTED_IN' ELSE 'MOTIVATES' END FROM pr) WHERE n IS NOT NULL
+    UNION ALL SELECT CAST(src AS VARCHAR), CAST(dst AS VARCHAR), 'FOLLOWS' FROM (SELECT id AS src, lead(id) OVER (ORDER BY seq) AS dst, chapter, lead(chapter) OVER (ORDER BY seq) AS c FROM ev) WHERE chapter = c
+    UNION ALL SELECT CAST(src AS VARCHAR), CAST(dst AS VARCHAR), relation FROM lk
+    UNION ALL SELECT CAST(a.id AS VARCHAR), CAST(b.id AS VARCHAR), 'CONTRAST' FROM ev a JOIN ev b ON b.id = a.id + 3""", "mb", "pr", "ev", "lk")
+def chain_edges(spark, sf):
+    ev, pr, mb = _graph_parts(spark, sf)
+    semantic = ev.select(F.col("id").alias("src"), (F.col("id") + 3).alias("dst"), F.lit("contrast").alias("type"))
+    return graph.chain_edges(ev, pr, mb, D.links(spark, ev), semantic)
+
+
+@query("""SELECT ':ID' AS kind, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM ev UNION ALL SELECT 'INCLUDES', count(*), CAST(sum(id) AS BIGINT) FROM mb
+    UNION ALL SELECT 'CAUSES', count(*), CAST(sum(src + dst) AS BIGINT) FROM lk""", "ev", "mb", "lk")
+def csv_round_trip(spark, sf):
+    """Events, members and links written as CSV tables and read again by name."""
+    from .runtime import scratch
+
+    ev, pr, mb = _graph_parts(spark, sf)
+    text, none = ev.withColumns({"name": F.concat(F.lit('a "quoted", name\\n'), "event_type"), "action_type": F.col("event_type"), "quote": F.lit("x"), "confidence": F.lit(0.5), "scene": F.lit(""), "notes": F.lit("")}), F.lit(None).cast("string")
+    links = D.links(spark, ev).withColumns({"mechanism": none, "weight": F.lit(0.5), "edge_supertype": none})
+    table = mb.select("scene", "chapter").distinct().withColumns({"theme": F.lit("t"), "confidence": F.lit(0.9)})
+    tables = W.csv_tables(text, pr.withColumn("entity_id", F.col("entity_name")), links, mb, table, follows(ev))
+    where = scratch(spark, "csv")
+    W.write_csv_tables({k: tables[k] for k in ("events", "scene_includes_event", "causes")}, where)
+    back = lambda name: spark.read.csv(f"{where}/{name}.csv", header=True, escape='"', multiLine=True)
+    total = lambda df, kind, c: df.agg(F.count("*").alias("n"), F.sum(c).cast("long").alias("total")).select(kind.alias("kind"), "n", "total")
+    out = total(back("events"), F.lit(":ID"), F.col("sequence").cast("long"))
+    out = out.unionByName(total(back("scene_includes_event"), F.lit("INCLUDES"), F.col("`:END_ID`").cast("long")))
+    return out.unionByName(total(back("causes"), F.lit("CAUSES"), F.col("`:START_ID`").cast("long") + F.col("`:END_ID`").cast("long")))

@@ -22,11 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage; the files go when the application ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of our own in the shared one, which goes when the application ends."""
     path = f"{shared_dir(spark)}/storyloom-core-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts lineage; the files go when the application ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
