@@ -9,6 +9,7 @@ from ..functions.vocabulary import ROLES, THEMES
 from ..operators import candidates, causal, scenes
 from ..operators.assess import RuleBased
 from ..operators.ordering import ranked
+from ..runtime import materialize
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,6 +94,7 @@ def assessed(pairs: DataFrame) -> DataFrame:
 
 def links(spark: SparkSession, ev: DataFrame) -> DataFrame:
     """Admitted links between locally close events."""
+    ev = materialize(ev.select("id", "seq", "chapter", "user_id"), "order")  # ranked once, read by each pool and both sides
     pairs = candidates.pooled(local_pools(ev)).select("src", "dst")
     return causal.admit(causal.valid_assessments(assessed(pairs), causal.relation_types(spark)), ev)
 

@@ -16,6 +16,7 @@ from .operators.assess import bulk_size
 from .operators.ordering import follows
 from .plans import tables as D
 from .plans.story import run_stats
+from .runtime import materialize
 from .sinks import writers as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,7 +203,7 @@ def bm25_pairs(spark, sf):
 
 
 def _all_pools(spark, sf) -> tuple[DataFrame, DataFrame]:
-    ev, ve = D.order(spark, sf), D.vectors(spark, sf)
+    ev, ve = materialize(D.order(spark, sf), "order"), D.vectors(spark, sf)
     pools = D.local_pools(ev) | {"scene": similarity.scene_pairs(ve, SIMILAR), "longshot": similarity.longshot_pairs(ve, SIMILAR)}
     return ev, candidates.pooled(pools)
 
