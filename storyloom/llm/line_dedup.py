@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import SPACE, ascii_lower, doc_key, id_or_null, materialize, text_or_empty
+from .common import SPACE, ascii_lower, discard, doc_key, id_or_null, materialize, text_or_empty
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Undecided lines of one key that a task holds before it passes them on.
@@ -135,13 +135,15 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     key = ascii_lower(F.btrim("line", F.lit(SPACE)))
     lines = lines.select("d", "t", "n_lines", "pos", key.alias("k")).filter(F.length("k") >= min_chars)
     hashed = lines.select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), F.col("k")).alias("h2"), "d", "t", "pos", "n_lines")
+    hashed = materialize(hashed, "hashes")  # finding the ranges' bounds reads these, not the texts once more
     order = ["h1", "h2", F.col("d").desc()]
     ranged = hashed.repartitionByRange(*order).sortWithinPartitions(*order, "t", "pos")
     marked = materialize(ranged.mapInArrow(_stream(min_docs), _MARKED), "lines")
-    # Two cut keys for each range partition at most: small whatever the input is.
+    discard(hashed)
+    # Two cut keys for each range partition at most, so the lines of a hot key stay in the tasks that hold them.
     cut = marked.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("d").alias("keeper"))
     cut = cut.filter(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
-    late = marked.filter("kind = 1").join(cut, ["h1", "h2"]).filter("d <> keeper")
+    late = marked.filter("kind = 1").join(F.broadcast(cut), ["h1", "h2"]).filter("d <> keeper")
     gone = marked.filter("kind = 0").select("d", "t", "pos", "n_lines").unionByName(late.select("d", "t", "pos", "n_lines"))
     per_doc = gone.groupBy("d", "t").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
     return per_doc.mapInArrow(_bitmaps, "d long, t long, n_lines int, n_dropped long, keep_bitmap binary")
@@ -208,6 +210,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup_digest(docs: DataFrame, **limits) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the text that stays, without moving that text on."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of the text that stays, without moving that text on.
+
+    One row per input row. Null and empty texts are one empty line; repeated rows come out alike; very long texts are read
+    whole; other columns don't matter, whatever their names; an empty table gives no rows.
+    """
     out = _joined(docs, **limits).mapInArrow(_digest, "d long, n_lines long, n_dropped long, kept_sha256 string")
     return out.select(id_or_null("d").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
