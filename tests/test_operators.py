@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given
