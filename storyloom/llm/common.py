@@ -58,6 +58,11 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffles of finished queries: Spark does so only when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def doc_key(c: str = "doc_id") -> Column:
     """doc_id as a long that is never null."""
     return F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import doc_key, id_or_null, materialize, text_or_empty
+from .common import doc_key, id_or_null, materialize, release, text_or_empty
 from .textvec import slices, sliding, windows, word_hashes
 
 WINDOW = 35
@@ -150,7 +150,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = materialize(counts.groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1").select("v"), "anchors")
     found = base.mapInArrow(_text_anchors(window, anchor), "v long, d long, t long").join(counts, "v")
     found = found.groupBy("d", "t").agg(F.collect_set("v").alias("vs"))
-    rows = base.join(found, ["d", "t"]).mapInArrow(_window_rows(window, anchor), "h long, d long, t long, start int, n int")
+    rows = base.join(found.hint("merge"), ["d", "t"]).mapInArrow(_window_rows(window, anchor), "h long, d long, t long, start int, n int")
     blocks = F.count("*").over(Window.partitionBy("h"))
     across = rows.filter("h is not null").withColumn("blocks", blocks).filter("blocks > 1").select("d", "t", "start", F.lit(1).alias("n"))
     starts = rows.filter("h is null").select("d", "t", "start", "n").unionByName(across)
@@ -161,9 +161,10 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
     """docs with the column __sl_hits: intervals of words that go, null without any."""
     hits = materialize(repeated_words(docs, window), "hits")
+    release(docs.sparkSession)  # the first shuffle of texts, before the second
     hits = hits.groupBy(F.col("d").alias("__sl_md"), F.col("t").alias("__sl_mt")).agg(F.collect_list(F.struct("start", "stop")).alias("__sl_hits"))
     base = docs.withColumn("__sl_d", doc_key()).withColumn("__sl_t", F.xxhash64(text_or_empty()))
-    return base.join(hits, (F.col("__sl_d") == F.col("__sl_md")) & (F.col("__sl_t") == F.col("__sl_mt")), "left").drop("__sl_md", "__sl_mt", "__sl_t")
+    return base.join(hits.hint("merge"), (F.col("__sl_d") == F.col("__sl_md")) & (F.col("__sl_t") == F.col("__sl_mt")), "left").drop("__sl_md", "__sl_mt", "__sl_t")
 
 
 def removal_mask(n_words: int, hits: list) -> np.ndarray:
