@@ -110,7 +110,8 @@ def _window_rows(window: int, anchor: int):
                 own = s.text_of[both]
                 h = pa.array(np.concatenate([found.view(np.int64), np.zeros(len(head), np.int64)]), mask=np.arange(len(both)) >= len(at))
                 size = np.concatenate([np.zeros(len(at), np.int32), n.astype(np.int32)])
-                yield pa.RecordBatch.from_arrays([h, pa.array(d[i:j][own]), pa.array(t[i:j][own]), pa.array((both - s.at[own]).astype(np.int32)), pa.array(size)], names=["h", "d", "t", "start", "n"])
+                rows = [h, pa.array(d[i:j][own]), pa.array(t[i:j][own]), pa.array((both - s.at[own]).astype(np.int32)), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(rows, names=["h", "d", "t", "start", "n"]).take(pa.array(np.argsort(both, kind="stable")))  # alike ones together
 
     return run
 
@@ -134,6 +135,12 @@ def _intervals(window: int):
     return run
 
 
+def _base(docs: DataFrame) -> DataFrame:
+    """(d, t, x): the texts as every join here takes them, so that the joins of one query share one shuffle of them."""
+    base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
+    return base.select("d", F.xxhash64("x").alias("t"), F.col("x").cast("binary").alias("x"))
+
+
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Removal intervals: (d, t, start, stop), the words from start to before stop of the text t of document d.
 
@@ -144,8 +151,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     are settled there.
     """
     anchor = min(ANCHOR, window)
-    base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
-    base = base.select("d", F.xxhash64("x").alias("t"), F.col("x").cast("binary").alias("x"))
+    base = _base(docs)
     counts = base.select("x").mapInArrow(_count_anchors(window, anchor), "v long, n int")
     counts = materialize(counts.groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1").select("v"), "anchors")
     found = base.mapInArrow(_text_anchors(window, anchor), "v long, d long, t long").join(counts, "v")
@@ -158,11 +164,15 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return ordered.mapInArrow(_intervals(window), "d long, t long, start int, stop int")
 
 
+def _hits(words: DataFrame) -> DataFrame:
+    return words.groupBy(F.col("d").alias("__sl_md"), F.col("t").alias("__sl_mt")).agg(F.collect_list(F.struct("start", "stop")).alias("__sl_hits"))
+
+
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
     """docs with the column __sl_hits: intervals of words that go, null without any."""
     hits = materialize(repeated_words(docs, window), "hits")
     release(docs.sparkSession)  # the first shuffle of texts, before the second
-    hits = hits.groupBy(F.col("d").alias("__sl_md"), F.col("t").alias("__sl_mt")).agg(F.collect_list(F.struct("start", "stop")).alias("__sl_hits"))
+    hits = _hits(hits)
     base = docs.withColumn("__sl_d", doc_key()).withColumn("__sl_t", F.xxhash64(text_or_empty()))
     return base.join(hits.hint("merge"), (F.col("__sl_d") == F.col("__sl_md")) & (F.col("__sl_t") == F.col("__sl_mt")), "left").drop("__sl_md", "__sl_mt", "__sl_t")
 
@@ -194,9 +204,11 @@ def substring_dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Null or empty texts have no words; texts shorter than a window lose none. Copies of a text lose all that is as long
     as a window, repeated rows too. Rows of one doc_id with different texts are told apart. A very long text is a block of
-    its own. Other columns don't matter, whatever their names. An empty table gives no rows.
+    its own. Other columns don't matter, whatever their names. An empty table gives no rows. Texts are shuffled once.
     """
-    joined = _with_starts(docs.select("doc_id", "text"), window).select("__sl_d", text_or_empty().cast("binary").alias("x"), "__sl_hits")
+    base, hits = _base(docs), _hits(repeated_words(docs, window))
+    joined = base.join(hits.hint("merge"), (F.col("d") == F.col("__sl_md")) & (F.col("t") == F.col("__sl_mt")), "left")
+    joined = joined.select(F.col("d").alias("__sl_d"), "x", "__sl_hits")
     out = joined.mapInArrow(_digest, "d long, n_words long, n_removed long, kept_sha256 string")
     return out.select(id_or_null("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
