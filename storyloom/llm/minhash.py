@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +21,8 @@ from .textvec import mix, spans, spans_hash, word_hashes
 SHINGLE, PERCENT = 5, 80
 #: Rounds in which buckets are tried by one member each once more, before unlinked members are joined by rare shingles.
 STAR_ROUNDS = 1
+#: Of a round's candidates between two components, how many meet their texts before the others are looked at.
+NEAREST = 16
 
 
 @dataclass(frozen=True)
@@ -110,15 +113,17 @@ def _keys(index: Index):
 
 
 def _close(index: Index, percent: int):
-    """Pairs within the signature distance whose sizes allow the similarity."""
+    """Pairs within the signature distance whose sizes allow the similarity, and in how many values they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, index.checked) for c in ("sa", "sb"))
             wrong = sa != sb
-            ok = (wrong[:, : index.values].sum(axis=1) <= index.distance) & (wrong.sum(axis=1) <= index.far) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+            far = wrong.sum(axis=1)
+            ok = pa.array((wrong[:, : index.values].sum(axis=1) <= index.distance) & (far <= index.far) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
+            cols = [b.column(c).filter(ok) for c in ("a", "b", "lo", "hi")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(far.astype(np.int32)).filter(ok)], names=["a", "b", "lo", "hi", "far"])
 
     return run
 
@@ -156,8 +161,12 @@ def _shingle_rows(size: int):
     return run
 
 
+def _pair(x: str, y: str, low: str = "a", high: str = "b") -> tuple[Column, Column]:
+    return F.least(x, y).alias(low), F.greatest(x, y).alias(high)
+
+
 def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): pairs of members (node, comp, n) of different comp that may reach the similarity, by their rarest shingles.
+    """(a, b, lo, hi): pairs of members (node, comp, n) of different comp that may reach the similarity, by their rarest shingles.
 
     An exact refinement of buckets whose members are neither linked nor far apart, where pairs would grow with the square
     of the bucket. Its pairs are held against the signature distance and then the full sets, as all others are.
@@ -180,7 +189,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int)
     posts = posts.join(torn, "h")
     other = posts.select("h", F.col("node").alias("onode"), F.col("comp").alias("ocomp"), F.col("n").alias("on"), F.col("rest").alias("orest"))
     enough = (100 + percent) * F.least("rest", "orest") >= percent * (F.col("n") + F.col("on"))
-    return posts.join(other, "h").filter((F.col("comp") < F.col("ocomp")) & enough).select(F.least("node", "onode").alias("a"), F.greatest("node", "onode").alias("b"))
+    return posts.join(other, "h").filter((F.col("comp") < F.col("ocomp")) & enough).select(*_pair("node", "onode"), *_pair("comp", "ocomp", "lo", "hi"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, index: Index = DEFAULT) -> DataFrame:
@@ -192,10 +201,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     document's own. Texts without words link with nothing: their component is their own doc_id. Repeated rows come out
     alike; very long texts are worked on alone; other columns, of any name, don't matter; an empty table gives no rows.
 
-    Equal sets, by 128 bits of them, form one class. Classes that share a key of the multi-index are candidates. A bucket's members are tried
-    against one of them first, and only members that are not yet connected are tried further; in the end all members of
-    buckets that are still apart are joined by their rarest shingles, so no component is missed, and a bucket of copies
-    costs as many pairs as it has members.
+    Equal sets, by 128 bits of them, form one class. Classes that share a key of the multi-index are candidates. A bucket's
+    members are tried against one of them first; then those outside the bucket's largest component against one of it, so
+    each member brings a pair for each of its keys at most. In the end all members of buckets that are still apart are
+    joined by their rarest shingles, so no component is missed. Of a round's pairs the nearest between two components meet
+    their texts first; all others do in the end, if their components are still apart then.
     """
     base = docs.select(doc_key().alias("d"), text_or_empty().alias("x"))
     base = base.select("d", F.xxhash64("x").alias("t"), F.col("x").cast("binary").alias("x"))
@@ -212,43 +222,57 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = materialize(texts, "texts")
     sig = members.select("node", "n", "sig")
 
-    def try_pairs(pairs: DataFrame, name: str) -> DataFrame:
+    def close(pairs: DataFrame) -> DataFrame:
         side = lambda c: sig.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-        close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close(index, percent), "a long, b long")
-        close = materialize(close, "close")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "lo", "hi", "na", "nb", "sa", "sb")
+        return materialize(both.mapInArrow(_close(index, percent), "a long, b long, lo long, hi long, far int"), "close")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         text = lambda c: texts.select(F.col("node").alias(c), F.col("x").alias(f"x{c}"))
-        full = close.join(text("b").hint("merge"), "b").join(text("a").hint("merge"), "a").select("a", "b", "xa", "xb")
-        return materialize(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
+        full = pairs.select("a", "b").join(text("b").hint("merge"), "b").join(text("a").hint("merge"), "a").select("a", "b", "xa", "xb")
+        return materialize(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
+
+    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = buckets.filter("node <> lead").select(*pair("node", "lead")).distinct()
+    tried = buckets.filter("node <> lead").select(*_pair("node", "lead")).distinct()
     tried = materialize(tried, "tried")
-    links = try_pairs(tried, "links")
-    found = connected_components(links)
+    found = connected_components(confirmed(close(tried.select("a", "b", F.col("a").alias("lo"), F.col("b").alias("hi")))))
     left, fresh, step = buckets.select("key", "node"), True, 0
+    nears, firsts = [], []
     while True:
         label = found.select("node", "component")
         left = left.select("key", "node").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         # A bucket of two was settled by its first pair; one whose members are connected is settled too.
-        torn = left.groupBy("key").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("key", "node", F.lit(step))).alias("pick"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("c > 2 and lo <> hi")
-        left = materialize(left.join(torn.select("key", "pick"), "key"), "left")
+        parts = left.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("key", "node", F.lit(step))).alias("pick"))
+        torn = parts.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max_by(F.struct("pick", "comp"), F.struct("c", "comp")).alias("most")).filter("c > 2 and parts > 1")
+        left = materialize(left.join(torn.select("key", "most.pick", F.col("most.comp").alias("ocomp")), "key"), "left")
         if not left.limit(1).count():
             break
         last = not fresh or step >= STAR_ROUNDS
         if last:
             pairs = _prefix_pairs(left.select("node", "comp").distinct().join(sig.select("node", "n"), "node"), texts, shingle, percent)
         else:
-            own = left.filter("node = pick").select("key", F.col("comp").alias("ocomp"))
-            pairs = left.join(own, "key").filter("comp <> ocomp").select(*pair("node", "pick"))
+            pairs = left.filter("comp <> ocomp").select(*_pair("node", "pick"), *_pair("comp", "ocomp", "lo", "hi"))
         pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        more = try_pairs(pairs, "links")
+        near = close(pairs)
+        rank = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("far", "a", "b"))
+        first = near.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).drop("rank")
+        nears, firsts = [*nears, near], [*firsts, first]
+        more = confirmed(first)
         fresh = bool(more.limit(1).count())
         if fresh:
-            links = links.unionByName(more)
-            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+            found = merged(found, more)
         if last:
+            low, high = (found.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}")) for c in ("lo", "hi"))
+            apart = F.coalesce("new_lo", "lo") != F.coalesce("new_hi", "hi")
+            near, first = reduce(DataFrame.unionByName, nears), reduce(DataFrame.unionByName, firsts)
+            rest = near.join(low, "lo", "left").join(high, "hi", "left").filter(apart).join(first.select("a", "b"), ["a", "b"], "left_anti")
+            rest = materialize(rest.select("a", "b"), "rest")
+            if rest.limit(1).count():
+                found = merged(found, confirmed(rest))
             break
-        tried, step = tried.unionByName(pairs), step + 1
+        tried, step = tried.unionByName(pairs.select("a", "b")), step + 1
     label = classes.select("a", "b", "n", "low", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     ids = label.groupBy("c").agg(F.min("low").alias("component_id"))
     placed = label.join(ids, "c").select("a", "b", "n", "component_id")

@@ -55,10 +55,10 @@ def test_chains_and_thresholds(spark):
 def test_keys_cover_all_errors():
     index = minhash.Index(16, 5, 4)
     rng = random.Random(1)
-    for _ in range(500):
+    for _ in range(300):
         wrong = set(rng.sample(range(16), 5))
         assert any(not wrong & set(k) for k in index.keys())
-    wrong = [set(rng.sample(range(64), 27)) for _ in range(500)]
+    wrong = [set(rng.sample(range(64), 27)) for _ in range(300)]
     assert all(any(not w & set(k) for k in minhash.DEFAULT.keys()) for w in wrong)
 
 
@@ -71,3 +71,31 @@ def test_kept_documents(spark):
     assert kept.filter("doc_id = 5").count() == 0 and kept.filter("doc_id = 4").count() == 1
     assert minhash.kept_documents(documents(spark, [])).count() == 0
     assert run(spark, [], 2) == []
+
+
+def test_texts_that_meet_in_a_large_group(spark, monkeypatch):
+    """A group of near copies, many of them just below the threshold: pairs of texts don't grow with its square."""
+    rng = random.Random(11)
+    base = prose(rng, 150, 5000).split(" ")
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for k in range(rng.choice([3] + [4] * 6 + [5] * 3 + [6])):
+            w[rng.randrange(len(w))] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    met, real = spark.sparkContext.accumulator(0), minhash._confirm
+
+    def counted(size, percent):
+        inner = real(size, percent)
+
+        def each(batches):
+            for b in batches:
+                met.add(b.num_rows)
+                yield b
+
+        return lambda batches: inner(each(batches))
+
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    expected = brute(rows, 2)
+    assert run(spark, rows, 2) == expected
+    assert met.value < 10 * len(rows), met.value
