@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import bm25, grid
+from storyloom.operators import bm25, grid, similarity
 
 
 def tuples(df):
@@ -49,3 +49,34 @@ def test_best_breaks_ties_by_seq_wherever_a_text_stands():
     best.offer(np.array([[0.5, 0.5 + 1e-12]]), np.array([30, 31]), np.array([5, 6]), 0.3, same, 1e-9)
     best.offer(np.array([[0.5 - 1e-12, 0.2]]), np.array([10, 11]), np.array([1, 2]), 0.3, same, 1e-9)
     assert sorted(zip(best.id[0], best.seq[0])) == [(10, 1), (30, 5)]
+
+
+@pytest.fixture(scope="module")
+def near(spark):
+    x = np.random.default_rng(5).normal(size=(40, 8))
+    rows = [(i, i, x[i % 40].tolist()) for i in range(300)]  # copies: many ties
+    want = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame(rows, "id long, seq long, vec array<double>"), np.round(want @ want.T, 9)
+
+
+def few_cells(monkeypatch):
+    for name, value in (("CELL", 64), ("WORTH", 32)):
+        monkeypatch.setattr(grid, name, value)
+    monkeypatch.setattr(similarity, "PACK", 16)
+
+
+def test_top_pairs_over_many_cells(spark, near, monkeypatch):
+    few_cells(monkeypatch)
+    df, cos = near
+    want = [(a, b) for b in range(300) for _, a in sorted((-cos[a % 40, b % 40], a) for a in range(b - 5) if cos[a % 40, b % 40] >= 0.2)[:4]]
+    out = similarity.semantic_topk_pairs(df, 0.2, top=4)
+    assert sorted((r.src, r.dst) for r in out.collect()) == sorted(want)
+
+
+def test_passages_send_nothing_to_the_driver(spark, near, monkeypatch):
+    few_cells(monkeypatch)
+    df, cos = near
+    out = similarity.passage_topk(df.filter("id % 7 = 0"), df, 3, 0.2)
+    want = [(b, a, k + 1) for b in range(0, 300, 7) for k, (_, a) in enumerate(sorted((-cos[a % 40, b % 40], a) for a in range(300) if a != b and cos[a % 40, b % 40] >= 0.2)[:3])]
+    assert sorted((r.query, r.passage, r["rank"]) for r in out.collect()) == sorted(want)
+    assert not any(x in out._jdf.queryExecution().toString() for x in ("BroadcastNestedLoopJoin", "CartesianProduct", "BroadcastExchange"))
