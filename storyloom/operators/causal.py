@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import supertype, theory
 from ..functions.vocabulary import RELATION_TYPES, THEORIES
 from ..runtime import materialize
+from .ordering import spread
 
 
 def relation_types(spark: SparkSession, types: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -21,16 +22,18 @@ def valid_assessments(assessed: DataFrame, types: DataFrame) -> DataFrame:
     return rows.join(types, ["relation", "theory"], "left_semi")
 
 
-def admit(assessed: DataFrame, events: DataFrame) -> DataFrame:
+def admit(assessed: DataFrame, events: DataFrame, n: int | None = None) -> DataFrame:
     """Links (src, dst, relation, theory, ...) that may enter the graph.
 
     Both events exist, the cause comes before the effect, and of several labels of a pair the first counts: by theory in
     the order of THEORIES, then `ord`, then relation. As every edge goes forward in time the result has no cycle, whatever
-    the order of insertion.
+    the order of insertion. Assessments with src_seq and dst_seq are of known events. n: how many there are, if known.
     """
-    seq = events.select("id", "seq")
     rows = assessed.filter("src is not null and dst is not null and src <> dst")
-    rows = rows.join(seq.select(F.col("id").alias("src"), F.col("seq").alias("src_seq")), "src").join(seq.select(F.col("id").alias("dst"), F.col("seq").alias("dst_seq")), "dst").filter("src_seq < dst_seq")
+    if "src_seq" not in rows.columns:
+        seq = events.select("id", "seq")
+        rows = rows.join(seq.select(F.col("id").alias("src"), F.col("seq").alias("src_seq")), "src").join(seq.select(F.col("id").alias("dst"), F.col("seq").alias("dst_seq")), "dst")
+    rows = spread(rows.filter("src_seq < dst_seq"), n, ["src", "dst"])
     rank = F.lit(len(THEORIES))
     for i, t in enumerate(THEORIES):
         rank = F.when(F.col("theory") == t, i).otherwise(rank)
@@ -46,11 +49,11 @@ def with_supertype(links: DataFrame) -> DataFrame:
     return links.withColumn("edge_supertype", supertype("relation"))
 
 
-def dag_stats(links: DataFrame, events: DataFrame) -> DataFrame:
-    """One row: nodes, edges, max_in, max_out, avg_in (per event, 2 digits)."""
+def dag_stats(links: DataFrame, events: DataFrame, n: int | None = None) -> DataFrame:
+    """One row: nodes, edges, max_in, max_out, avg_in (per event, 2 digits). n: how many rows both have, if known."""
     part = lambda df, c, *v: df.select(F.col(c).alias("id"), *(F.lit(x).cast("long").alias(n) for x, n in zip(v, ("node", "out", "into"))))
     each = part(events, "id", 1, 0, 0).unionByName(part(links, "src", 0, 1, 0)).unionByName(part(links, "dst", 0, 0, 1))
-    each = each.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("node", "out", "into")))
+    each = spread(each, n, ["id"]).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("node", "out", "into")))
     total = lambda f, c: F.coalesce(f(c), F.lit(0)).cast("long")
     one = each.agg(total(F.sum, "node").alias("nodes"), total(F.sum, "out").alias("edges"), total(F.max, "into").alias("max_in"), total(F.max, "out").alias("max_out"))
     return one.withColumn("avg_in", F.round(F.col("edges") / F.greatest("nodes", F.lit(1)), 2))

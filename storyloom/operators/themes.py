@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import INVOLVEMENTS, ROLES, THEMES
+from .ordering import spread
 
 
 def cleaned(notes: DataFrame) -> DataFrame:
@@ -19,19 +20,20 @@ def cleaned(notes: DataFrame) -> DataFrame:
     return out.withColumns({"role": role, "confidence": F.try_cast("confidence", "double") if hasattr(F, "try_cast") else F.col("confidence").try_cast("double")})
 
 
-def bridged(notes: DataFrame, links: DataFrame) -> DataFrame:
+def bridged(notes: DataFrame, links: DataFrame, n: int | None = None) -> DataFrame:
     """Clean notes after the bridge rule: `none` with a neighbour, either way, that is `direct` in the theme becomes
-    `indirect` and `mediating`. One pass: no note becomes `direct`, so the order of events doesn't count."""
+    `indirect` and `mediating`. One pass: no note becomes `direct`, so the order of events doesn't count.
+    n: how many notes and links there are, if known."""
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    near = both.join(notes.filter("involvement = 'direct'").select(F.col("id").alias("dst"), "theme"), "dst")
-    near = near.select(F.col("src").alias("id"), "theme").distinct().withColumn("_near", F.lit(True))
-    out = notes.join(near, ["id", "theme"], "left")
+    near = spread(both, n, ["dst"]).join(spread(notes.filter("involvement = 'direct'").select(F.col("id").alias("dst"), "theme"), n, ["dst"]), "dst")
+    near = spread(near.select(F.col("src").alias("id"), "theme"), n, ["id", "theme"]).distinct().withColumn("_near", F.lit(True))
+    out = spread(notes, n, ["id", "theme"]).join(near, ["id", "theme"], "left")
     up = (F.col("involvement") == "none") & F.col("_near").isNotNull()
     return out.withColumns({"role": F.when(up, "mediating").otherwise(F.col("role")), "involvement": F.when(up, "indirect").otherwise(F.col("involvement"))}).drop("_near").select(*notes.columns)
 
 
-def flattened(notes: DataFrame, events: DataFrame) -> DataFrame:
-    """(id, theme_POWER, ...): the involvement in each theme of every event, `none` without a note."""
+def flattened(notes: DataFrame, events: DataFrame, n: int | None = None) -> DataFrame:
+    """(id, theme_POWER, ...): the involvement in each theme of every event, `none` without a note. n: how many notes, if known."""
     pick = [F.max(F.when(F.col("theme") == t, F.col("involvement"))).alias(f"theme_{t}") for t in THEMES]
-    flat = notes.groupBy("id").agg(*pick)
-    return events.select("id").join(flat, "id", "left").select("id", *(F.coalesce(f"theme_{t}", F.lit("none")).alias(f"theme_{t}") for t in THEMES))
+    flat = spread(notes, n, ["id"]).groupBy("id").agg(*pick)
+    return spread(events.select("id"), n, ["id"]).join(flat, "id", "left").select("id", *(F.coalesce(f"theme_{t}", F.lit("none")).alias(f"theme_{t}") for t in THEMES))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import bm25, grid, similarity
+from storyloom.operators import bm25, candidates, grid, similarity
 
 
 def tuples(df):
@@ -80,3 +80,22 @@ def test_passages_send_nothing_to_the_driver(spark, near, monkeypatch):
     want = [(b, a, k + 1) for b in range(0, 300, 7) for k, (_, a) in enumerate(sorted((-cos[a % 40, b % 40], a) for a in range(300) if a != b and cos[a % 40, b % 40] >= 0.2)[:3])]
     assert sorted((r.query, r.passage, r["rank"]) for r in out.collect()) == sorted(want)
     assert not any(x in out._jdf.queryExecution().toString() for x in ("BroadcastNestedLoopJoin", "CartesianProduct", "BroadcastExchange"))
+
+
+def test_a_main_actor_is_many_tasks(spark):
+    rows = [(i, i, [["a"], ["a", "b"], ["b"], ["c", "a", "b"]][i % 4], ["c"] if i % 5 == 0 else []) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, seq long, actors array<string>, patients array<string>")
+    out = candidates.peak_pairs(df, gap=3, size=8)
+    names = [set(a) | set(p) for _, _, a, p in rows]
+    assert tuples(out) == sorted(((a, b) for a in range(200) for b in range(a + 1, 200) if b - a < 3 or names[a] & names[b]), key=repr)
+    assert max(out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 0.2 * out.count()
+
+
+def test_caps_need_no_shuffle_of_all_pairs(spark):
+    ev = spark.createDataFrame([(i, i) for i in range(60)], "id long, seq long")
+    of = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    pools = {"temporal": of([(i, i + 1) for i in range(50)]), "peak": of([(i, i + 1) for i in range(0, 50, 9)] + [(3, 40), (99, 1)]), "entity": of([(i, i + 2) for i in range(40)] + [(9, 10)])}
+    want = candidates.tier_cap(candidates.with_gap(candidates.pooled(pools), ev), list(pools), 20)
+    got = candidates.capped(pools, ev, 20, candidates.tier_cap)
+    assert tuples(got.select("src", "dst", "pools", "gap", "tier")) == tuples(want.select("src", "dst", "pools", "gap", "tier"))
+    assert {(r.src, r.dst): r.pools for r in got.collect()}[(9, 10)] == 7
