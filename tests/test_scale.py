@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import bm25, candidates, grid, similarity
+from storyloom.functions import text
+from storyloom.operators import bm25, candidates, coreference, grid, ordering, similarity
 
 
 def tuples(df):
@@ -99,3 +101,23 @@ def test_caps_need_no_shuffle_of_all_pairs(spark):
     got = candidates.capped(pools, ev, 20, candidates.tier_cap)
     assert tuples(got.select("src", "dst", "pools", "gap", "tier")) == tuples(want.select("src", "dst", "pools", "gap", "tier"))
     assert {(r.src, r.dst): r.pools for r in got.collect()}[(9, 10)] == 7
+
+
+def test_splitting_holds_few_texts_as_strings(spark):
+    seen, values = [], pa.array(["a b"] * 300 + [None])
+    out = text.each_slice(values, lambda x: seen.append(x) or x.split())
+    assert out.to_pylist() == [["a", "b"]] * 300 + [None] and len(seen) == 300
+    assert text.each_slice(values[:0], str.split).type == pa.list_(pa.string())
+    rows = spark.createDataFrame([(i, None if i == 7 else f"One {i}. " * (i % 5)) for i in range(300)], "id long, text string")
+    got = {r.id: r.c for r in rows.select("id", text.chunks("text", 20, 0).alias("c")).collect()}
+    assert got[7] is None and got[5] == [] and got[104] == ["One 104. One 104. "] * 2
+
+
+def test_known_rows_make_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS", 10)
+    df = spark.createDataFrame([(i, None if i % 2 else "k") for i in range(100)], "at long, key string")
+    out = ordering.ranked(df, ["key"], ["at"], F.floor(F.col("at") / 3), "r", 100)
+    assert out.rdd.getNumPartitions() == 10 and tuples(out.select("at", "r")) == sorted(((i, i // 2) for i in range(100)), key=repr)
+    rows = spark.createDataFrame([(i // 3, f"n{i % 4}") for i in range(90)], "event_id long, entity_name string").withColumn("entity_type", F.lit("actor"))
+    few = coreference.cooccurrences(rows, 3, 90)
+    assert few.rdd.getNumPartitions() == 18 and tuples(few) == tuples(coreference.cooccurrences(rows, 3))
